@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,19 @@ def row_key(*columns: str) -> Column:
     """64 bits that, together with the id, name a row. Rows that agree in id and text are
     equal rows and share it."""
     return F.xxhash64(*[F.col(c) for c in columns])
+
+
+def slices_by_bytes(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with a few megabytes in a column of text or bytes; a longer value is a run
+    of its own."""
+    values = batch.column(column)
+    start, size = 0, 0
+    lengths = pa.compute.binary_length(values).to_pylist()
+    for row, n in enumerate(lengths):
+        n = n or 0
+        if size and size + n > most:
+            yield batch.slice(start, row - start)
+            start, size = row, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, packing, quality, simhash, token_counts, toxicity
+from . import decontam, html_text, line_dedup, packing, quality, repeats, simhash, token_counts, token_shards, toxicity
 
 
 OP9_SQL = r"""
@@ -17,7 +17,7 @@ WITH words AS (
   FROM (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)
   WHERE text IS NOT NULL
 ), shingles AS (
-  SELECT DISTINCT k, id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS s
+  SELECT DISTINCT k, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s
   FROM words WHERE len(w) >= 5
 ), items AS (
   SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS q FROM shingles WHERE k = 'b'
@@ -39,6 +39,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return token_shards.write_training_order(docs, public_tokenizers.path("word_bpe_49k.json"))[1]
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -48,6 +57,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.BASE, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -67,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_simhash, op4_toxicity, op5_quality, op7_packing, op8_html_text, op9_decontamination, op10_token_counts,
+        op1_simhash, op2_token_shards, op3_line_dedup, op4_toxicity, op5_quality, op6_repeats, op7_packing, op8_html_text, op9_decontamination, op10_token_counts,
     )}
 
 

@@ -194,6 +194,16 @@ def link_edges(prints: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long")
 
 
+def simhash_prints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
+) -> DataFrame:
+    """(id, fp, root) for every row: rows with the same root are in one component."""
+    prints = materialise(with_fingerprints(docs, id_col, text_col, shingle), "prints")
+    distinct = materialise(prints.select("fp").distinct(), "distinct")
+    roots = connected_components(link_edges(distinct, radius))
+    return prints.join(roots.toDF("fp", "root"), "fp", "left").select(id_col, "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
@@ -205,10 +215,6 @@ def simhash_components(
     component are null. Columns of ``docs`` besides id and text are not read. An empty table
     gives an empty result.
     """
-    prints = materialise(with_fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
-    roots = connected_components(link_edges(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    found = materialise(simhash_prints(docs, id_col, text_col, shingle, radius), "rooted")
+    least = found.groupBy("root").agg(F.min(id_col).alias("component_id"))
+    return found.join(least, "root").select(id_col, "fp", "component_id")

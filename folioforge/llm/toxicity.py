@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices_by_bytes
 from .tokenize import REMEMBERED
 
 #: Labelled documents that the model is fitted on, at most.
@@ -241,7 +242,7 @@ def score_toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices_by_bytes(whole, 1):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 words = [t.split() for t in texts]
                 for ws in words:
@@ -270,16 +271,3 @@ def score_toxicity(
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("marginal", pa.float64())]))
-
-
-def _slices(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with a few megabytes of text; one long text is a run of its own."""
-    start, size = 0, 0
-    for row, text in enumerate(batch.column(1)):
-        n = len(text.as_buffer()) if text.is_valid else 0
-        if size and size + n > most_bytes:
-            yield batch.slice(start, row - start)
-            start, size = row, 0
-        size += n
-    if batch.num_rows > start:
-        yield batch.slice(start)
