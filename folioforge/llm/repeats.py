@@ -34,6 +34,8 @@ GRAM, HEAD = 16, 256
 BEFORE = HEAD - GRAM
 #: Bytes from a trigger on that every such string holds.
 MARK = LENGTH - BEFORE - GRAM
+#: Bytes of text that a task parses at once; arrays of eight bytes for each of them are held.
+SLICE = 1_000_000
 #: Different surroundings of one class that a single task orders.
 IN_TASK = 4000
 
@@ -119,7 +121,7 @@ def parse(column: pa.Array) -> tuple[np.ndarray, ...]:
 def _trigger_table(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices_by_bytes(whole, 2):
+            for batch in slices_by_bytes(whole, 2, SLICE):
                 row, place, mark, around = parse(batch.column(2))
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -271,7 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["g", "k1", "k2", "place", "before", "around", "wide"]
         for whole in batches:
-            for batch in slices_by_bytes(whole, 2):
+            for batch in slices_by_bytes(whole, 2, SLICE):
                 rows: list[tuple] = []
                 for k1, k2, data, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     for m in {m["place"]: m for m in marks if m["g"] is not None}.values():
@@ -301,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in slices_by_bytes(big, 1):
+            for batch in slices_by_bytes(big, 1, SLICE):
                 out: list[tuple] = []
                 for data, marks, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                     n = len(data)
