@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices_by_bytes
+from .common import materialise, slices_by_bytes, small_batches
 
 #: Bytes of a repeated string.
 LENGTH = 400
@@ -35,7 +35,7 @@ BEFORE = HEAD - GRAM
 #: Bytes from a trigger on that every such string holds.
 MARK = LENGTH - BEFORE - GRAM
 #: Bytes of text that a task parses at once; arrays of eight bytes for each of them are held.
-SLICE = 1_000_000
+SLICE = 400_000
 #: Different surroundings of one class that a single task orders.
 IN_TASK = 4000
 
@@ -50,7 +50,7 @@ def _power(which: int, n: int, inverse: bool = False) -> np.ndarray:
     have = _powers.get((which, inverse))
     if have is None or len(have) < n:
         base = pow(_BASES[which], -1, 2**64) if inverse else _BASES[which]
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, 1 << 19), base, np.uint64)
         steps[0] = 1
         have = _powers[which, inverse] = np.multiply.accumulate(steps)
     return have[:n]
@@ -245,6 +245,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes (they may not be valid text where a character was cut). Other columns of ``docs``
     are not read; an empty table gives an empty result.
     """
+    with small_batches(docs.sparkSession):
+        return _remove_repeats(docs, id_col, text_col, with_text)
+
+
+def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
         F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("k2"),
@@ -327,4 +332,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     parts = lists.join(spans, ["k1", "k2"], "left")
     trimmed = texts.join(parts, ["k1", "k2"]).select("_id", "_bytes", "marks", "spans").mapInArrow(cut, schema)
-    return whole.unionByName(trimmed)
+    return materialise(whole.unionByName(trimmed), "trimmed")
