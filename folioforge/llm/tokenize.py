@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 
 #: Chunks that a worker remembers before it starts anew.
@@ -25,6 +27,13 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def packed(encoding) -> bytes:
+    ids = array("I", encoding.ids)
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 def per_worker(kind: Callable, path: str):
     """One ``kind(path)`` for each Python worker, kept for its later tasks."""
     key = (kind.__name__, path)
@@ -40,18 +49,23 @@ def file_digest(path: str) -> str:
 
 
 class WordIds:
-    """Ids of texts under a vocabulary that drops white space, as little-endian 32-bit bytes.
+    """Ids of texts under a vocabulary that drops white space and case, as little-endian 32-bit
+    bytes.
 
-    ASCII white space always ends a token there, and no special string holds any.
+    ASCII white space always ends a token there, and no special string holds any. Special
+    strings are told by case, so a text that may hold one keeps its own.
     """
 
+    remembered = 1_500_000
+
     def __init__(self, path: str):
         self.tokenizer, self.known = load(path), {}
 
     def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8").split()
+        data = (text or "").encode("utf-8")
+        words = (data if b"<|" in data else data.lower()).split()
         if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > REMEMBERED:
+            if len(self.known) + len(new) > self.remembered:
                 self.known, new = {}, set(words)
             self.learn(new)
         return b"".join(map(self.known.__getitem__, words))
@@ -61,8 +75,7 @@ class WordIds:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            self.known.update(zip(part, map(packed, found), strict=True))
 
 
 class SpacedIds:
@@ -101,8 +114,8 @@ class SpacedIds:
         parts = list(parts)
         for at in range(0, len(parts), 20_000):
             part = parts[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update(zip(part, map(packed, found), strict=True))
 
 
 class SpacedCounts(SpacedIds):
