@@ -10,6 +10,7 @@ slot, and another key is another epoch's order.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -90,6 +91,7 @@ def token_sequences(docs: DataFrame, tokenizer_path: str, length: int, end_id: i
                 names=["part", "nth", "n_tokens", "packed", "places"],
             )
 
+        gc.disable()  # nothing here makes cycles, and the memory of words is large to walk
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -109,6 +111,7 @@ def token_sequences(docs: DataFrame, tokenizer_path: str, length: int, end_id: i
             close()
         if out:
             yield flush()
+        gc.enable()
 
     places = f"array<struct<id:{kind},start:bigint,offset:int,length:int>>"
     return docs.select(id_col, text_col).mapInArrow(run, f"part int, nth long, n_tokens int, packed binary, places {places}")

@@ -11,6 +11,7 @@ small logistic model of their sum, density and maximum, the document's score.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ from .common import slices_by_bytes
 from .tokenize import REMEMBERED
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 2500
 #: Words of a chain that are worked on at once, and the words before and after them that are
 #: run through first; the chain forgets its start long before.
 STRETCH, LEAD = 256, 48
@@ -107,19 +108,21 @@ def label_tokens(texts: list[list[str]], toxic: np.ndarray, floor: int = 3, rati
     return [np.array([is_toxic(w) for w in words] if label else [False] * len(words), float) for words, label in zip(texts, toxic, strict=True)]
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 60, l2: float = 1e-3) -> Chain:
-    """The chain and document model of labelled texts. Without both labels among them the
+def train(texts: list[str], toxic: list[int], odds: float | None = None, rounds: int = 60, l2: float = 1e-3) -> Chain:
+    """The chain and document model of labelled texts. ``odds`` are the log-odds of toxic where
+    the texts come from, if they were drawn by label. Without both labels among the texts the
     prior alone is learned."""
     y = np.array(toxic, float)
     model = Chain()
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
-    model.document[0] = np.log(share / (1 - share))
+    drawn = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    odds = drawn if odds is None else odds
+    model.document[0] = odds
     if not 0 < y.sum() < len(y):
         return model
-    words = [t.split() for t in texts]
+    words = [list(map(sys.intern, t.split())) for t in texts]
     labels = label_tokens(words, y)
     vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws in words for w in ws], np.int64)
+    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for ws in words for w in ws), np.int64)
     gold = np.concatenate([*labels, np.empty(0)])
     sizes = np.array([len(w) for w in words])
     names: dict[str, int] = {}
@@ -166,6 +169,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 60, l2: float = 1e-3
     score = model.bias + np.bincount(of_word, theta[of_feature], len(vocabulary))
     p = marginals(score[ids], sizes, model.start, model.moves)
     model.document = _logistic(document_features(p, sizes), y)
+    model.document[0] += odds - drawn
     return model
 
 
@@ -193,16 +197,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01, rounds: int = 50)
     return w
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """At most ``rows`` labelled texts of the training folds, drawn by a hash of the id.
-    Folds: crc32 of the id as text, mod 5; remainder 0 is held out."""
+def training_sample(
+    docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str
+) -> tuple[DataFrame, float]:
+    """At most ``rows`` labelled texts of the training folds, drawn by a hash of the id, two
+    fifths of them toxic where there are as many; and the log-odds of toxic among all labels
+    there. Folds: crc32 of the id as text, mod 5; remainder 0 is held out."""
     fold = F.crc32(F.col(id_col).cast("string")) % 5
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold != 0))
-    known = known.groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    drawn = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)  # a bounded table
-    return docs.select(id_col, text_col).join(F.broadcast(drawn), id_col).select(
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_label", F.col(id_col).alias("id")
-    )
+    known = known.groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_label"))
+    counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    odds = np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))
+    first = lambda label, n: known.where(F.col("_label") == label).orderBy(F.xxhash64(id_col), id_col).limit(n)
+    toxic = min(counts.get(1, 0), rows * 2 // 5)
+    drawn = first(1, toxic).unionByName(first(0, rows - toxic))  # a bounded table
+    texts = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
+    return texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_label", F.col(id_col).alias("id")), odds
 
 
 def score_toxicity(
@@ -224,9 +234,10 @@ def score_toxicity(
     toxic ones (0.5 without any). The model is fitted on at most ``sample_rows`` labelled rows
     of the training folds; the rest covers every row whole.
     """
-    sample = training_sample(docs, labels, sample_rows, id_col, text_col, label_col).toPandas()
-    sample = sample.sort_values(["id", "text"])
-    model = train(sample["text"].tolist(), sample["_label"].astype(int).clip(0, 1).tolist())
+    drawn, odds = training_sample(docs, labels, sample_rows, id_col, text_col, label_col)
+    sample = sorted((r["id"], r["text"], r["_label"]) for r in drawn.collect())
+    model = train([t for _, t, _ in sample], [x for _, _, x in sample], odds)
+    del sample
     kind = docs.schema[id_col].dataType.simpleString()
     span_type = "array<struct<start:int,length:int,marginal:double>>"
     names = [id_col, "score", "n_toxic", *["spans"] * with_spans]
