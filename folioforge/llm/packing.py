@@ -65,33 +65,35 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
                 held.append((first, count))
             tree.set(room, True)
 
+    def fill(length: int, rank: int, total: int, first: int, count: int, room: int) -> tuple[int, int]:
+        """Put items into a run of equal bins, each filled as far as it goes: once a bin has
+        one, it is the tightest. Returns the next rank and how many bins were touched."""
+        each = room // length
+        whole = min(count, (total - rank) // each)
+        rest = (total - rank) - whole * each if whole < count else 0
+        for slot in range(each if whole else 0):
+            runs.append((length, rank, first, capacity - room + slot * length))
+            rank += whole
+        leave(room - each * length, first, whole)
+        for slot in range(rest):
+            runs.append((length, rank, first + whole, capacity - room + slot * length))
+            rank += 1
+        leave(room - rest * length, first + whole, 1 if rest else 0)
+        return rank, whole + (1 if rest else 0)
+
     for length in sorted(histogram, reverse=True):
         rank, total = 0, histogram[length]
         while rank < total:
             room = tree.tightest(length)
-            if room is not None:
-                first, count = open_bins[room].pop()
-                take = min(count, total - rank)
-                if take < count:
-                    open_bins[room].append((first + take, count - take))
-                if not open_bins[room]:
-                    tree.set(room, False)
-                runs.append((length, rank, first, capacity - room))
-                leave(room - length, first, take)
-                rank += take
+            if room is None:
+                rank, opened = fill(length, rank, total, bins, total, capacity)
+                bins += opened
                 continue
-            each = capacity // length  # a new bin is the tightest until it is full
-            whole, rest = divmod(total - rank, each)
-            for slot in range(each if whole else 0):
-                runs.append((length, rank, bins, slot * length))
-                rank += whole
-            leave(capacity - each * length, bins, whole)
-            bins += whole
-            for slot in range(rest):
-                runs.append((length, rank, bins, slot * length))
-                rank += 1
-            leave(capacity - rest * length, bins, 1 if rest else 0)
-            bins += 1 if rest else 0
+            first, count = open_bins[room].pop()
+            if not open_bins[room]:
+                tree.set(room, False)
+            rank, touched = fill(length, rank, total, first, count, room)
+            leave(room, first + touched, count - touched)
     return runs
 
 

@@ -133,8 +133,7 @@ def write_training_order(
     manifest: (shard, path, first_slot, records, crc32) for each file; placements: (id, start,
     length, slot, offset, shard, record) for each run of a document's ids in a sequence. Shard
     files hold ``length`` unsigned 16-bit ids a record, little-endian. Files are written under
-    a temporary name and renamed, so a lost executor leaves no half shard; a shard that is
-    complete is not touched again. Null and empty texts are the end id alone. Every row is
+    a temporary name and renamed, so a lost executor leaves no half shard. Null and empty texts are the end id alone. Every row is
     written, repeated rows each time; an empty table writes nothing. The vocabulary must drop
     white space (tokenize.WordIds) and have ids below 65536.
     """
