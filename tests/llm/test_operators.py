@@ -124,6 +124,26 @@ def test_lines_keep_one_of_each_component(docs, spark):
     assert odd.count() == len(corpus()) and odd.where("text is null").count() == 2
 
 
+def test_line_similarity_is_exact(spark):
+    r, lines = random.Random(5), ["abc", "abcd", "abcde", "x" * 300, "ab " * 90, "宇宙の文字列" * 9, "a\rb  c\u2028d e f g"]
+    for i in range(60):
+        words = prose(r.choice([3, 8, 30, 90]), 900 + i).split()
+        lines.append(" ".join(words))
+        for _ in range(r.choice([1, 1, 2, 6, 30])):
+            words[r.randrange(len(words))] = r.choice(["new", words[0], "wörter", ""])
+        lines.append(" ".join(words).strip() or "none")
+        lines.append(" ".join(reversed(words)).strip() or "none")
+    pairs = list(zip(lines, lines[1:], strict=False)) + [(a, b) for a in lines[:7] for b in lines[:12]]
+    sets = lambda x: {x[i : i + 5] for i in range(len(x) - 4)} or {x}
+    table = spark.createDataFrame([(a, b) for a, b in pairs if a != b], "a string, b string")
+    same = (line_dedup.jaccard(F.col("a"), F.col("b")) >= 0.8).alias("same")
+    got = table.select("a", "b", same).collect()
+    for x in got:
+        a, b = sets(x["a"]), sets(x["b"])
+        assert x["same"] == (len(a & b) / len(a | b) >= 0.8)
+    assert 20 < sum(x["same"] for x in got) < len(got) - 20
+
+
 def test_repeats_match_brute_force(docs):
     rows = corpus()
     data = [(t or "").encode() for _, t in rows]
