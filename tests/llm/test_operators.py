@@ -124,6 +124,23 @@ def test_lines_keep_one_of_each_component(docs, spark):
     assert odd.count() == len(corpus()) and odd.where("text is null").count() == 2
 
 
+def test_every_candidate_of_a_bucket_is_compared(spark, monkeypatch):
+    """Near copies part from each other in every other MinHash; leaders match neither."""
+    lines = [prose(14, 3000 + i) for i in range(12)]
+    lines += [x + " e" for x in lines[1:]]
+    lines += [lines[1] + " e later on here"]  # matches a matched line only
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    want = groups(len(lines), near)
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    rows = [(1, i, [1000 * i + b for b in range(10)]) for i in range(len(lines))]
+    buckets = spark.createDataFrame(rows, "bucket long, h long, rows array<int>")
+    for block in (512, 3):
+        monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+        got = [(r["src"], r["dst"]) for r in line_dedup.verified_links(buckets, texts, 0.8).collect()]
+        assert set(got) <= {(j, i) for i, j in near} and groups(len(lines), got) == want
+
+
 def test_line_similarity_is_exact(spark):
     r, lines = random.Random(5), ["abc", "abcd", "abcde", "x" * 300, "ab " * 90, "宇宙の文字列" * 9, "a\rb  c\u2028d e f g"]
     for i in range(60):
