@@ -141,6 +141,16 @@ def test_every_candidate_of_a_bucket_is_compared(spark, monkeypatch):
         assert set(got) <= {(j, i) for i, j in near} and groups(len(lines), got) == want
 
 
+def test_lines_of_any_length_share_bands(spark):
+    """Lines of 80 characters and their copies without the last one."""
+    lines = [prose(30, 4000 + i)[:79] + "z" for i in range(20)]
+    table = spark.createDataFrame([(k, x) for i, x in enumerate(lines) for k, x in ((i, x), (100 + i, x[:-1]))], "h long, line string")
+    met = {}
+    for r in line_dedup.candidate_buckets(table).collect():
+        met.setdefault(r["bucket"], set()).add(r["h"])
+    assert all(any({i, 100 + i} <= x for x in met.values()) for i in range(20))
+
+
 def test_line_similarity_is_exact(spark):
     r, lines = random.Random(5), ["abc", "abcd", "abcde", "x" * 300, "ab " * 90, "宇宙の文字列" * 9, "a\rb  c\u2028d e f g"]
     for i in range(60):
