@@ -151,6 +151,24 @@ def test_lines_of_any_length_share_bands(spark):
     assert all(any({i, 100 + i} <= x for x in met.values()) for i in range(20))
 
 
+def test_band_recall_at_the_threshold(spark):
+    """Scattered one-character edits of long lines, at an exact similarity of 0.80 to 0.84."""
+    r, rows, sets = random.Random(11), [], lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    while len(rows) < 1000:
+        a = list(prose(r.randint(16, 90), 5000 + r.randrange(10**6))[:500])
+        b = list(a)
+        for _ in range(max(1, round(len(a) * r.uniform(0.018, 0.024)))):
+            b[r.randrange(len(b))] = r.choice("qrstuvwxyz")
+        a, b = "".join(a), "".join(b)
+        if 0.8 <= len(sets(a) & sets(b)) / len(sets(a) | sets(b)) < 0.84:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    shared = line_dedup.candidate_buckets(spark.createDataFrame(rows, "h long, line string")).groupBy("bucket").agg(F.collect_list("h").alias("h"))
+    met = [set(x["h"]) for x in shared.collect()]
+    caught = sum(any({i, i + 1} <= x for x in met) for i in range(0, len(rows), 2))
+    print("caught", caught, "of", len(rows) // 2)
+    assert caught >= 0.99 * len(rows) / 2
+
+
 def test_line_similarity_is_exact(spark):
     r, lines = random.Random(5), ["abc", "abcd", "abcde", "x" * 300, "ab " * 90, "宇宙の文字列" * 9, "a\rb  c\u2028d e f g"]
     for i in range(60):
