@@ -3,7 +3,7 @@
 Every text node has a root-to-leaf path of tags. Per path, text length and punctuation are
 related to the number of nodes that share it; both series are smoothed over the page in node
 order, fused, and cut at a share of their spread. Nodes of paths above the cut mark where the
-article is; its container is the smallest element that holds nearly all of their text. What
+article is; its container is the smallest element that holds all of their text. What
 lies in it is the article, short paragraphs and headings included, less what is not prose:
 menus, forms, adverts, notices, sidebars, scripts and reader comments.
 """
@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame
 
 #: Share of the spread of the fused ratio above which a path counts as content.
 CUT = 0.5
-#: Share of the marked text that the container must hold.
-HOLDS = 0.8
 
 #: Fixed values of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -160,8 +158,8 @@ def main_text(page: str | None) -> str:
             by_id[id(e)] = e
             e = e.parent
     total = float(lengths[marked].sum())
-    articles = [k for k, n in share.items() if by_id[k].tag in ("article", "main") and n >= HOLDS * total]
-    holders = articles or [k for k, n in share.items() if n >= HOLDS * total]
+    articles = [k for k, n in share.items() if by_id[k].tag in ("article", "main") and n >= total]
+    holders = articles or [k for k, n in share.items() if n >= total]
     top = max(holders, key=lambda k: by_id[k].depth)
     container = by_id[top]
     while not articles and container.parent is not None and (container.tag not in BLOCK or container.tag in ("p", "li", "td", "tr")):

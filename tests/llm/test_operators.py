@@ -335,6 +335,17 @@ def test_main_text_of_pages():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<div") == ""
 
 
+def test_main_text_of_several_parts():
+    part = lambda w, n: "".join(f"<p>{' '.join([w] * 30)}, and so on. {i}</p>" for i in range(n))
+    pages = [
+        f"<div>{part('first', 17)}</div><div>{part('second', 3)}<p>short</p></div>",
+        f"<main><article>{part('first', 17)}</article><section>{part('second', 3)}</section></main>",
+    ]
+    for page in pages:
+        got = html_text.main_text(f"<body><nav>menu</nav>{page}</body>")
+        assert got.count("first, and") == 17 and got.count("second, and") == 3 and "menu" not in got
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     assert simhash.simhash_components(none).count() == 0
