@@ -656,7 +656,20 @@ SELECT doc_id, 'word_' || CAST(i - 1 AS VARCHAR) AS node, w[i] AS word, CAST(i *
 FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 4) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS w FROM documents))
 """)
 def hocr_parse(spark, sf):
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)), 1, 4)
+    return _word_nodes(spark, sf, F.slice(_letter_words(), 1, 4))
+
+
+@query()
+def hocr_parse_whole(spark, sf):
+    """hocr_parse over all words of every text; its SQL stops at the fourth."""
+    return _word_nodes(spark, sf, _letter_words())
+
+
+def _letter_words():
+    return F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))
+
+
+def _word_nodes(spark, sf, words):
     span = F.transform(words, lambda w, i: F.format_string("<span class='ocrx_word' id='word_%d' title='bbox %d 0 %d 9; x_wconf 90'>%s</span>", i, (i + 1) * 10, (i + 1) * 10 + 9, w))
     page = F.concat(F.lit("<!DOCTYPE html><html xmlns='http://www.w3.org/1999/xhtml'><body><div class='ocr_page' title='bbox 0 0 100 100; ppageno 0'><span class='ocr_line' title='bbox 0 0 90 9'>"), F.array_join(span, " "), F.lit("</span></div></body></html>"))
     nodes = recognised.parse_nodes(_t(spark, sf, "documents").select("doc_id", page.alias("markup")), "doc_id", "markup")

@@ -1,10 +1,13 @@
 """Literal cases of the rules of pages, ranges and logs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import numbers, text
 from folioforge.operators import assembly, pages
+from folioforge.plans import catalogue
 
 
 @pytest.mark.parametrize(
@@ -43,3 +46,11 @@ def test_all_jpeg(spark):
     kinds = lambda *k: F.array(*[F.lit(x) for x in k]).cast("array<string>")
     ask = lambda *k: spark.range(1).select(pages.all_of_kind(kinds(*k), pages.JPEG_KINDS)).first()[0]
     assert [ask(), ask("jpeg"), ask("jpeg", "flate_jpeg"), ask("jpeg", "flate")] == [False, True, True, False]
+
+
+def test_all_words_of_a_text_are_parsed(spark, tmp_path):
+    texts = {1: " ".join(f"wort{chr(97 + i % 26)}" for i in range(300)), 2: "eins, zwei 3 drei", 3: "", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["node"], r["word"], r["x0"]) for r in catalogue.queries()["hocr_parse_whole"](spark, str(tmp_path)).collect()}
+    words = {k: re.findall(r"[^\W\d_]+", t or "") for k, t in texts.items()}
+    assert got == {(k, f"word_{i}", w, 10.0 * (i + 1)) for k, ws in words.items() for i, w in enumerate(ws)}
