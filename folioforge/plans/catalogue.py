@@ -538,6 +538,13 @@ def script_direction(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.reads_right_to_left(F.col("text")).alias("rtl"), text.only_cjk(F.col("text")).alias("cjk"), F.reverse(F.substring("text", 1, 20)).alias("turned"))
 
 
+@query()
+def script_direction_whole(spark, sf):
+    """script_direction with the whole text reversed, as md5; its SQL reverses 20 characters."""
+    turned = F.md5(F.reverse("text")).alias("turned")
+    return _t(spark, sf, "documents").select("doc_id", text.reads_right_to_left(F.col("text")).alias("rtl"), text.only_cjk(F.col("text")).alias("cjk"), turned)
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
   CASE WHEN l_linenumber + 3 < CAST(l_quantity AS INTEGER) THEN 'reversed' END AS status,

@@ -1,5 +1,6 @@
 """Literal cases of the rules of pages, ranges and logs."""
 
+import hashlib
 import re
 
 import pytest
@@ -54,3 +55,10 @@ def test_all_words_of_a_text_are_parsed(spark, tmp_path):
     got = {(r["doc_id"], r["node"], r["word"], r["x0"]) for r in catalogue.queries()["hocr_parse_whole"](spark, str(tmp_path)).collect()}
     words = {k: re.findall(r"[^\W\d_]+", t or "") for k, t in texts.items()}
     assert got == {(k, f"word_{i}", w, 10.0 * (i + 1)) for k, ws in words.items() for i, w in enumerate(ws)}
+
+
+def test_whole_texts_are_reversed(spark, tmp_path):
+    texts = {1: "x" * 30 + "abc", 2: "שלום עולם " * 9 + "e\u0301", 3: "", 4: "x" * 30 + "abd"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["turned"] for r in catalogue.queries()["script_direction_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(t[::-1].encode()).hexdigest() for k, t in texts.items()}
