@@ -58,7 +58,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"), with_passages=True)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,28 @@
-"""Removal of long repeated byte strings, by prefix-free parsing of the corpus.
-
-A rolling hash over short byte windows cuts each text into phrases: a place is a trigger where
-the hash is least among all windows around it, so every string of HEAD bytes has a trigger
-that its own bytes determine. Equal strings are cut alike wherever they stand. The parse is
-kept as a table of triggers with two hashes: of what follows (the dictionary class, MARK
-bytes) and of the whole surroundings (BEFORE bytes before, LENGTH after).
-
-Instead of one global suffix array, which no machine holds, the corpus order is taken where it
-matters. Triggers whose class occurs once cannot lie in a repeated string and fall away.
-Triggers whose whole surroundings occur again are settled: every string around them repeats.
-Only the rest, at the rims of repeats, send their surroundings to the task of their class,
-where the strings around the trigger are ordered and equal neighbours found. Classes with very
-many different surroundings are ordered by Spark itself, string by string.
+"""Removal of long repeated strings, by prefix-free parsing of the corpus.
+
+A rolling hash over short windows cuts each text into phrases: a place is a trigger where the
+hash is least among all windows around it, so every string of ``head`` bytes has a trigger that
+its own bytes determine, no phrase is longer than that, and equal strings are cut alike wherever
+they stand. The text before a trigger is the end of a dictionary phrase, the text from it on is
+a suffix of the parse.
+
+Corpus order ranks a suffix first by the rest of its phrase, an entry of the dictionary's suffix
+array, and then by the suffix of the parse that follows, an entry of the parse's suffix array.
+Both arrays are built for each class of equal text from a trigger on (``mark`` bytes), as no
+string of the wanted length can be repeated across classes and no machine holds all of them.
+Triggers whose class occurs once cannot lie in a repeated string and fall away. Triggers whose
+whole surroundings occur again are settled: every string around them repeats, and one of them
+stands for all. What is left goes to the task of its class, where phrase ends and parse
+suffixes are sorted with their common lengths, and each pair of ranks names the strings that
+are equal. Classes with very many different surroundings are counted string by string.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +31,42 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices_by_bytes, small_batches
 
-#: Bytes of a repeated string.
-LENGTH = 400
-#: Bytes of a rolling window, and of the head of a string in which it must have a trigger.
-GRAM, HEAD = 16, 256
-#: Bytes before a trigger at which a string that has it in its head can start.
-BEFORE = HEAD - GRAM
-#: Bytes from a trigger on that every such string holds.
-MARK = LENGTH - BEFORE - GRAM
+
+@dataclass(frozen=True)
+class Repeat:
+    """What counts as repeated: ``length`` bytes, at places that are multiples of ``step``.
+
+    ``gram`` are the bytes of a rolling window, ``head`` those at the start of a string among
+    which it must have a trigger. With ``words`` a text is the sequence of its words' 4-byte
+    digests instead of its bytes.
+    """
+
+    length: int
+    gram: int
+    head: int
+    step: int = 1
+    words: bool = False
+
+    @property
+    def before(self) -> int:
+        """Bytes before a trigger at which a string that has it in its head can start."""
+        return self.head - self.gram
+
+    @property
+    def mark(self) -> int:
+        """Bytes from a trigger on that every such string holds."""
+        return self.length - self.before
+
+
+#: Strings of 400 bytes, and passages of over 50 words.
+STRINGS = Repeat(400, 16, 256)
+PASSAGES = Repeat(51 * 4, 16, 128, 4, True)
 #: Bytes of text that a task parses at once; arrays of eight bytes for each of them are held.
 SLICE = 400_000
 #: Different surroundings of one class that a single task orders.
 IN_TASK = 4000
+#: Rows of two or four numbers up to which a counted table is broadcast (some 30 MB at most).
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _TABLES = _rng.integers(0, 2**63, (2, 256), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,14 +102,14 @@ def _hash(sums: np.ndarray, which: int, start: np.ndarray, end: np.ndarray) -> n
     return _mix((sums[end] - sums[start]) * _power(which, len(sums), True)[start])
 
 
-def triggers(data: np.ndarray) -> np.ndarray:
-    """Places of the rightmost least rolling hash of every run of HEAD bytes."""
-    n, width = len(data) - GRAM + 1, HEAD - GRAM + 1
+def triggers(data: np.ndarray, kind: Repeat = STRINGS) -> np.ndarray:
+    """Places of the rightmost least rolling hash of every run of ``head`` bytes."""
+    n, width = (len(data) - kind.gram) // kind.step + 1, kind.before // kind.step + 1
     if n < width:
         return np.empty(0, np.int64)
-    buffer = np.ascontiguousarray(data)
-    eight = np.ndarray((len(data) - 7,), "<u8", buffer, strides=(1,))
-    h = _mix(eight[:n] * np.uint64(_BASES[0]) + eight[8 : 8 + n] * np.uint64(_BASES[1]))
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    first, second = eight[:: kind.step][:n], eight[8 :: kind.step][:n]
+    h = _mix(first * np.uint64(_BASES[0]) + second * np.uint64(_BASES[1]))
     key = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
     blocks = np.full(-(-n // width) * width, np.uint64(2**64 - 1))
     blocks[:n] = key
@@ -89,7 +118,17 @@ def triggers(data: np.ndarray) -> np.ndarray:
     up = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(up[: n - width + 1], down[width - 1 : n])
     place = (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    return place[np.concatenate(([True], place[1:] != place[:-1]))]
+    return place[np.concatenate(([True], place[1:] != place[:-1]))] * kind.step
+
+
+def word_digests(text: bytes) -> bytes:
+    """Four bytes for each word ``[^\\x20\\x09-\\x0D]+``."""
+    return np.fromiter(map(zlib.crc32, text.split()), "<u4").tobytes()
+
+
+def _view(column: pa.Array, kind: Repeat) -> pa.Array:
+    """The texts of a binary column as what is searched for repeats."""
+    return pa.array(map(word_digests, column.to_pylist()), pa.binary()) if kind.words else column
 
 
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,29 +139,29 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def parse(column: pa.Array) -> tuple[np.ndarray, ...]:
+def parse(column: pa.Array, kind: Repeat = STRINGS) -> tuple[np.ndarray, ...]:
     """(row, place, class, surroundings) of the triggers of a batch of texts. A trigger counts
-    if a string of LENGTH bytes of its own text can have it in its head."""
+    if a string of the length in its own text can have it in its head."""
     data, offsets = _joined(column)
-    place = triggers(data)
+    place = triggers(data, kind)
     row = np.searchsorted(offsets, place, "right") - 1
     start, end = offsets[row], offsets[row + 1]
-    before, after = np.minimum(BEFORE, place - start), np.minimum(LENGTH, end - place)
-    fit = (before + after >= LENGTH) & (after >= MARK)
+    before, after = np.minimum(kind.before, place - start), np.minimum(kind.length, end - place)
+    fit = (before + after >= kind.length) & (after >= kind.mark)
     row, place, start, before, after = (x[fit] for x in (row, place, start, before, after))
     if not len(place):
         return row, place, np.empty(0, np.int64), np.empty(0, np.int64)
-    mark = _hash(_prefix(data, 0), 0, place, place + MARK)
+    mark = _hash(_prefix(data, 0), 0, place, place + kind.mark)
     around = _hash(_prefix(data, 1), 1, place - before, place + after)
-    around = _mix(around + (before * (LENGTH + 1) + after).astype(np.uint64))
+    around = _mix(around + (before * (kind.length + 1) + after).astype(np.uint64))
     return row, place - start, mark.view(np.int64), around.view(np.int64)
 
 
-def _trigger_table(keyed: DataFrame) -> DataFrame:
+def _trigger_table(keyed: DataFrame, kind: Repeat) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices_by_bytes(whole, 2, SLICE):
-                row, place, mark, around = parse(batch.column(2))
+                row, place, mark, around = parse(_view(batch.column(2), kind), kind)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(mark), pa.array(around)],
@@ -132,57 +171,95 @@ def _trigger_table(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "k1 long, k2 long, place int, g long, c long")
 
 
-def window_hashes(around: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(group: np.ndarray, strings: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings by (group, bytes), and the length that each has in common with the
+    one before it; -1 at the first of a group. Bytes beyond ``wide`` do not count."""
+    order = np.array(sorted(range(len(strings)), key=lambda i: (group[i], strings[i])), np.int64)
+    table = np.zeros((len(strings), wide + 1), np.uint8)
+    for i, x in enumerate(strings):
+        table[i, : len(x)] = np.frombuffer(x, np.uint8)
+    size = np.array([len(x) for x in strings], np.int64)[order]
+    common = np.full(len(strings), -1, np.int64)
+    if len(strings) > 1:
+        ranked = table[order]
+        apart = ranked[1:, :wide] != ranked[:-1, :wide]
+        first = np.where(apart.any(1), apart.argmax(1), wide)
+        first = np.minimum(first, np.minimum(size[1:], size[:-1]))
+        common[1:] = np.where(group[order][1:] == group[order][:-1], first, -1)
+    return order, common
+
+
+def _most_in_common(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each string, what it has in common with its closest neighbour in the order."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], -1))
+    return out
+
+
+def repeated_starts(
+    group: np.ndarray, around: list[bytes], before: np.ndarray, kind: Repeat = STRINGS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which surroundings, least, most): between which starts before the trigger strings are
+    that occur in another surroundings of the same group. Groups are whole.
+
+    The phrase ends (read backwards from the trigger) and the parse suffixes (from the trigger
+    on) are each put in order. Strings that start ``a`` bytes before the trigger are equal where
+    the ends have ``a`` and the suffixes the rest of the length in common: where both cuts of
+    the two orders put them together.
+    """
+    of = np.arange(len(around))
+    for last in (False, True):
+        ends = [around[i][: before[i]][::-1] for i in of]
+        rests = [around[i][before[i] :] for i in of]
+        by_end, in_end = suffix_order(group[of], ends, kind.before)
+        by_rest, in_rest = suffix_order(group[of], rests, kind.length)
+        if not last:  # strings without a neighbour that has enough in common match none
+            of = of[_most_in_common(by_end, in_end) + _most_in_common(by_rest, in_rest) >= kind.length]
+            if not len(of):
+                return of, of, of
+    n = len(of)
+    least, most = np.full(n, kind.length, np.int64), np.full(n, -1, np.int64)
+    phrase, rest = np.empty(n, np.int64), np.empty(n, np.int64)
+    for a in range(0, kind.before + 1, kind.step):
+        phrase[by_end] = np.cumsum(in_end < a)
+        rest[by_rest] = np.cumsum(in_rest < kind.length - a)
+        rank = phrase * (n + 1) + rest
+        order = np.argsort(rank)
+        same = rank[order][1:] == rank[order][:-1]
+        hit = np.zeros(n, bool)
+        hit[order[1:][same]] = True
+        hit[order[:-1][same]] = True
+        least[hit & (most < 0)] = a
+        most[hit] = a
+    some = most >= 0
+    return of[some], least[some], most[some]
+
+
+def window_hashes(around: list[bytes], before: np.ndarray, kind: Repeat = STRINGS) -> tuple[np.ndarray, np.ndarray]:
     """For each surroundings (bytes, how many lie before the trigger) the hashes of the strings
-    that start 0 .. BEFORE bytes before the trigger, and which of them exist."""
-    k, wide = len(around), BEFORE + LENGTH
+    that start 0 .. ``before`` bytes before the trigger, and which of them exist."""
+    k, wide, most = len(around), kind.before + kind.length, kind.before
     table = np.zeros((k, wide), np.uint8)
     for i, (x, b) in enumerate(zip(around, before.tolist(), strict=True)):
-        table[i, BEFORE - b : BEFORE - b + len(x)] = np.frombuffer(x, np.uint8)
+        table[i, most - b : most - b + len(x)] = np.frombuffer(x, np.uint8)
     after = np.array([len(x) for x in around]) - before
     sums = np.zeros((k, wide + 1), np.uint64)
     np.cumsum(_TABLES[0][table] * _power(0, wide), 1, out=sums[:, 1:])
-    a = np.arange(BEFORE + 1)
-    hashes = _mix(sums[:, wide - a] - sums[:, BEFORE - a])
-    return hashes, (a <= before[:, None]) & (LENGTH - a <= after[:, None])
+    a = np.arange(most + 1)
+    hashes = _mix((sums[:, wide - a] - sums[:, most - a]) * _power(0, most + 1, True)[most - a])
+    return hashes, (a <= before[:, None]) & (kind.length - a <= after[:, None]) & (a % kind.step == 0)
 
 
-def repeated_starts(group: np.ndarray, around: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which surroundings, least, most): between which starts before the trigger strings are
-    that occur in another surroundings of the same group. Groups are whole."""
-    hashes, real = window_hashes(around, before)
-    keys = _mix(hashes ^ group.view(np.uint64)[:, None])
-    order = np.argsort(keys, 0, kind="stable")
-    columns = np.arange(keys.shape[1])
-    ranked, ok = keys[order, columns], real[order, columns]
-    # strings that do not exist must equal none: they are sorted apart by a key of their own
-    lone = np.arange(keys.shape[0], dtype=np.uint64)[:, None]
-    if not ok.all():
-        keys = np.where(real, keys | np.uint64(1), (lone << np.uint64(1)) | (_mix(lone) << np.uint64(33)) & ~np.uint64(1))
-        order = np.argsort(keys, 0, kind="stable")
-        ranked = keys[order, columns]
-    same = ranked[1:] == ranked[:-1]
-    hit = np.zeros(keys.shape, bool)
-    hit[:-1] |= same
-    hit[1:] |= same
-    repeated = np.zeros(keys.shape, bool)
-    repeated[order, columns] = hit
-    repeated &= real
-    some = np.flatnonzero(repeated.any(1))
-    own = repeated[some]
-    return some, own.argmax(1), BEFORE - own[:, ::-1].argmax(1)
-
-
-def _rims(around: DataFrame) -> DataFrame:
+def _rims(around: DataFrame, kind: Repeat) -> DataFrame:
     """(k1, k2, lo, hi) from surroundings dealt by class: what the repeated strings cover."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         g, k1, k2, place, before, text = zip(*rows, strict=True)
         before, place = np.array(before, np.int64), np.array(place, np.int64)
-        some, least, most = repeated_starts(np.array(g, np.int64), list(text), before)
+        some, least, most = repeated_starts(np.array(g, np.int64), list(text), before, kind)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.array(k1, np.int64)[some]), pa.array(np.array(k2, np.int64)[some]),
-             pa.array((place[some] - most).astype(np.int32)), pa.array((place[some] - least + LENGTH).astype(np.int32))],
+             pa.array((place[some] - most).astype(np.int32)), pa.array((place[some] - least + kind.length).astype(np.int32))],
             names=["k1", "k2", "lo", "hi"],
         )
 
@@ -207,7 +284,7 @@ def _rims(around: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "k1 long, k2 long, lo int, hi int")
 
 
-def _rims_by_string(around: DataFrame) -> DataFrame:
+def _rims_by_string(around: DataFrame, kind: Repeat) -> DataFrame:
     """The same for classes with very many surroundings: one row a string, counted by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +292,7 @@ def _rims_by_string(around: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 before = batch.column(4).to_numpy().astype(np.int64)
-                hashes, real = window_hashes(batch.column(5).to_pylist(), before)
+                hashes, real = window_hashes(batch.column(5).to_pylist(), before, kind)
                 row, start = np.nonzero(real)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -226,110 +303,147 @@ def _rims_by_string(around: DataFrame) -> DataFrame:
     strings = around.select("g", "k1", "k2", "place", "before", "around").mapInArrow(
         run, "g long, k1 long, k2 long, place int, start int, h long"
     )
-    again = strings.groupBy("g", "start", "h").agg(F.count("*").alias("n")).where("n > 1")
+    again = strings.groupBy("g", "start", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return (
-        strings.join(again, ["g", "start", "h"])
+        strings.join(_if_few(materialise(again, "strings")), ["g", "start", "h"])
         .groupBy("k1", "k2", "place")
         .agg(F.min("start").alias("least"), F.max("start").alias("most"))
-        .select("k1", "k2", (F.col("place") - F.col("most")).alias("lo"), (F.col("place") - F.col("least") + LENGTH).alias("hi"))
+        .select("k1", "k2", (F.col("place") - F.col("most")).alias("lo"), (F.col("place") - F.col("least") + kind.length).alias("hi"))
     )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of ``docs``.
+def _if_few(table: DataFrame) -> DataFrame:
+    """A broadcast hint if a written table of a few numbers a row is counted and small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
-    Every byte that lies in a string of LENGTH bytes which also starts anywhere else in the
-    corpus is removed; overlaps count, strings are judged on the input, none crosses texts.
-    Null texts count as empty; texts of fewer bytes than LENGTH stay whole. Repeated rows are
-    texts like any other, so long ones are removed from each. ``kept`` holds the remaining
-    bytes (they may not be valid text where a character was cut). Other columns of ``docs``
-    are not read; an empty table gives an empty result.
-    """
-    with small_batches(docs.sparkSession):
-        return _remove_repeats(docs, id_col, text_col, with_text)
 
+def repeat_ranges(keyed: DataFrame, kind: Repeat = STRINGS) -> DataFrame:
+    """(k1, k2, ranges array<struct<lo, hi>>) of the texts ``keyed`` (k1, k2, _bytes) that hold
+    a repeated string: the bytes that such strings cover; ranges may overlap.
 
-def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(
-        F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("k2"),
-        F.encode(text, "utf-8").alias("_bytes"), F.col(id_col).alias("_id"),
-    )
-    found = materialise(_trigger_table(keyed.select("k1", "k2", "_bytes")), "triggers")
-    classes = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    hot = materialise(found.join(classes, "g"), "hot")
-    kinds = hot.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("first"))
-    kinds = materialise(kinds, "kinds")
-    wide = kinds.groupBy("g").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(wide, "g").where("n > 1 or kinds > 1")
-    me = F.struct("k1", "k2", "place")
-    marks = hot.join(kinds, ["g", "c"]).select(
+    Equal surroundings are counted before anything else is joined, so a passage that a third
+    of all texts hold is one row a task; joins are between written tables, which adaptive
+    execution splits.
+    """
+    found = materialise(_trigger_table(keyed, kind), "triggers")
+    me = F.xxhash64("k1", "k2", "place")  # any one of the triggers with equal surroundings
+    kinds = materialise(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(me).alias("first")), "kinds")
+    classes = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    kinds = kinds.join(_if_few(materialise(classes, "classes")), "g").where("n > 1 or kinds > 1")
+    kinds = materialise(kinds, "repeated")
+    marks = found.join(_if_few(kinds), ["g", "c"]).select(
         "k1", "k2", "place", (F.col("n") > 1).alias("settled"),
         F.when((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("first") == me)), F.col("g")).alias("g"),
         (F.col("kinds") > IN_TASK).alias("wide"),
     )
-    lists = materialise(
-        marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "settled", "g", "wide")).alias("marks")), "marks"
-    )
-    affected = lists.count()
-    few = F.broadcast(lists.select("k1", "k2")) if affected <= 1_000_000 else lists.select("k1", "k2")
-    texts = keyed.join(few, ["k1", "k2"], "left_semi")
+    marks = materialise(marks, "marks")
+    mine = F.struct("place", "g", "wide")
+    lists = marks.where("g is not null").groupBy("k1", "k2").agg(F.collect_set(mine).alias("marks"))
+    lists = materialise(lists, "lists")
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g", "k1", "k2", "place", "before", "around", "wide"]
+        names, done = ["g", "k1", "k2", "place", "before", "around", "wide"], set()
         for whole in batches:
             for batch in slices_by_bytes(whole, 2, SLICE):
                 rows: list[tuple] = []
-                for k1, k2, data, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for m in {m["place"]: m for m in marks if m["g"] is not None}.values():
+                views = _view(batch.column(2), kind).to_pylist()
+                for k1, k2, data, marks in zip(*(batch.column(i).to_pylist() for i in (0, 1)), views, batch.column(3).to_pylist(), strict=True):
+                    if (k1, k2) in done:  # a repeated row, whose strings are settled
+                        continue
+                    done.add((k1, k2))
+                    for m in marks:
                         p = m["place"]
-                        before = min(BEFORE, p)
-                        rows.append((m["g"], k1, k2, p, before, data[p - before : p + LENGTH], m["wide"]))
+                        before = min(kind.before, p)
+                        rows.append((m["g"], k1, k2, p, before, data[p - before : p + kind.length], m["wide"]))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 7
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    rim_lists = lists.where(F.exists("marks", lambda m: m["g"].isNotNull()))
-    around = texts.select("k1", "k2", "_bytes").join(rim_lists, ["k1", "k2"]).mapInArrow(
+    few = _if_few(lists.select("k1", "k2"))
+    texts = keyed.join(few, ["k1", "k2"], "left_semi").join(lists, ["k1", "k2"])
+    around = texts.select("k1", "k2", "_bytes", "marks").mapInArrow(
         surroundings, "g long, k1 long, k2 long, place int, before int, around binary, wide boolean"
     )
     around = materialise(around, "surroundings")
-    rims = _rims(around.where("not wide")).unionByName(_rims_by_string(around.where("wide")))
-    spans = materialise(rims.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    rims = _rims(around.where("not wide"), kind).unionByName(_rims_by_string(around.where("wide"), kind))
+    settled = marks.where("settled").select(
+        "k1", "k2", F.greatest(F.lit(0), F.col("place") - kind.before).alias("lo"), (F.col("place") + kind.length).alias("hi")
+    )
+    both = settled.unionByName(rims)
+    return materialise(both.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+
 
-    whole = keyed.join(lists.select("k1", "k2").transform(lambda x: F.broadcast(x) if affected <= 1_000_000 else x), ["k1", "k2"], "left_anti")
-    whole = whole.select(
-        F.col("_id").alias(id_col), F.octet_length("_bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"), F.sha2("_bytes", 256).alias("kept_sha256"), *[F.col("_bytes").alias("kept")] * with_text,
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("k2"),
+        F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("_bytes"), F.col(id_col).alias("_id"),
     )
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_passages: bool = False
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept][, n_passage_words]) for every row.
+
+    Every byte that lies in a string of 400 bytes which also starts anywhere else in the corpus
+    is removed; overlaps count, strings are judged on the input, none crosses texts. Null texts
+    count as empty; shorter texts stay whole. Repeated rows are texts like any other, so long
+    ones are removed from each. ``kept`` holds the remaining bytes (they may not be valid text
+    where a character was cut). ``n_passage_words`` counts the words that lie in passages of
+    over 50 words which also start anywhere else; nothing is removed for them. Other columns of
+    ``docs`` are not read; an empty table gives an empty result.
+    """
+    with small_batches(docs.sparkSession):
+        return _remove_repeats(docs, id_col, text_col, with_text, with_passages)
+
+
+def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool, with_passages: bool) -> DataFrame:
+    keyed = _keyed(docs, id_col, text_col)
+    found = repeat_ranges(keyed.select("k1", "k2", "_bytes"), STRINGS)
+    found = found.withColumnRenamed("ranges", "strings")
+    if with_passages:
+        words = repeat_ranges(keyed.select("k1", "k2", "_bytes"), PASSAGES).withColumnRenamed("ranges", "passages")
+        found = materialise(found.join(words, ["k1", "k2"], "full"), "both")
+    else:
+        found = found.withColumn("passages", F.lit(None).cast(found.schema["strings"].dataType))
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    extra = ["kept"] * with_text + ["n_passage_words"] * with_passages
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *extra]
+    types = {"kept": "binary", "n_passage_words": "long"}
+    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {x} {types[x]}" for x in extra)
+
+    def cover(n: int, ranges: list[dict] | None) -> np.ndarray:
+        edge = np.zeros(n + 1, np.int64)
+        for r in ranges or ():
+            edge[r["lo"]] += 1
+            edge[min(n, r["hi"])] -= 1
+        return np.cumsum(edge[:n]) > 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices_by_bytes(big, 1, SLICE):
                 out: list[tuple] = []
-                for data, marks, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                for data, strings, passages in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                     n = len(data)
-                    edge = np.zeros(n + 1, np.int64)
-                    for m in marks:
-                        if m["settled"]:
-                            edge[max(0, m["place"] - BEFORE)] += 1
-                            edge[min(n, m["place"] + LENGTH)] -= 1
-                    for s in spans or ():
-                        edge[s["lo"]] += 1
-                        edge[s["hi"]] -= 1
-                    gone = np.cumsum(edge[:n]) > 0
+                    gone = cover(n, strings)
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                     runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    out.append((n, n - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept)[: 4 + with_text])
-                columns = list(zip(*out, strict=True)) if out else [()] * (4 + with_text)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                    words = int(cover(4 * len(data.split()), passages).sum()) // 4 if passages else 0
+                    out.append((n, n - len(kept), runs, hashlib.sha256(kept).hexdigest(), *[kept] * with_text, *[words] * with_passages))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_text, *[pa.int64()] * with_passages]
+                columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names=names
+                    [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names
                 )
 
-    parts = lists.join(spans, ["k1", "k2"], "left")
-    trimmed = texts.join(parts, ["k1", "k2"]).select("_id", "_bytes", "marks", "spans").mapInArrow(cut, schema)
+    few = _if_few(found.select("k1", "k2"))
+    size = F.octet_length("_bytes").cast("long")
+    none = F.lit(0).cast("long")
+    extras = [F.col("_bytes").alias("kept")] * with_text + [none.alias("n_passage_words")] * with_passages
+    whole = keyed.join(few, ["k1", "k2"], "left_anti").select(
+        F.col("_id").alias(id_col), size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2("_bytes", 256).alias("kept_sha256"), *extras,
+    )
+    texts = keyed.join(few, ["k1", "k2"], "left_semi").join(found, ["k1", "k2"])
+    trimmed = texts.select("_id", "_bytes", "strings", "passages").mapInArrow(cut, schema)
     return materialise(whole.unionByName(trimmed), "trimmed")
