@@ -47,6 +47,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Remove the folders of tables that ``materialise`` wrote and nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/folioforge/" in name:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it as long as ``columns`` have one of that name."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once for a row, however often body names it.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Rounds halve the nodes that are left, in expectation; 64 rounds are enough for any table.
 MAX_ROUNDS = 64
@@ -39,16 +39,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         ends = (
             left.join(hooks.toDF("u", "pu"), "u").join(hooks.toDF("v", "pv"), "v").where("pu <> pv")
         )
-        left = materialise(
+        before, left = left, materialise(
             ends.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges"
         )
+        discard(before)
         if turn == 0:
             found = hooks.toDF("node", "root")
         else:
-            found = materialise(
+            settled, found = found, materialise(
                 found.join(hooks.toDF("root", "parent"), "root", "left").select(
                     "node", F.coalesce("parent", "root").alias("root")
                 ),
                 "roots",
             )
+            discard(settled, hooks)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

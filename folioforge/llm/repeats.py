@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices_by_bytes, small_batches
+from .common import discard, materialise, slices_by_bytes, small_batches
 
 
 @dataclass(frozen=True)
@@ -59,13 +60,13 @@ class Repeat:
 
 
 #: Strings of 400 bytes, and passages of over 50 words.
-STRINGS = Repeat(400, 16, 256)
-PASSAGES = Repeat(51 * 4, 16, 128, 4, True)
+STRINGS = Repeat(400, 16, 304)
+PASSAGES = Repeat(51 * 4, 16, 160, 4, True)
 #: Bytes of text that a task parses at once; arrays of eight bytes for each of them are held.
 SLICE = 400_000
-#: Different surroundings of one class that a single task orders.
-IN_TASK = 4000
-#: Rows of two or four numbers up to which a counted table is broadcast (some 30 MB at most).
+#: Different surroundings of one class that a single task orders, and those it orders at once.
+IN_TASK, AT_ONCE = 1000, 4000
+#: Rows of two numbers up to which a counted table is broadcast (some 30 MB at most).
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
@@ -267,14 +268,14 @@ def _rims(around: DataFrame, kind: Repeat) -> DataFrame:
         held: list[tuple] = []
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            while len(held) > IN_TASK:
+            while len(held) > AT_ONCE:
                 last = held[-1][0]
                 cut = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != last), -1) + 1
                 if not cut:
                     break
                 upto = cut
-                if cut > 2 * IN_TASK:  # whole groups of about IN_TASK rows
-                    upto = next(i for i in range(IN_TASK, cut + 1) if i == cut or held[i][0] != held[i - 1][0])
+                if cut > 2 * AT_ONCE:  # whole groups of about so many rows
+                    upto = next(i for i in range(AT_ONCE, cut + 1) if i == cut or held[i][0] != held[i - 1][0])
                 yield settle(held[:upto])
                 held = held[upto:]
         if held:
@@ -305,7 +306,7 @@ def _rims_by_string(around: DataFrame, kind: Repeat) -> DataFrame:
     )
     again = strings.groupBy("g", "start", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return (
-        strings.join(_if_few(materialise(again, "strings")), ["g", "start", "h"])
+        strings.join(materialise(again, "strings"), ["g", "start", "h"])
         .groupBy("k1", "k2", "place")
         .agg(F.min("start").alias("least"), F.max("start").alias("most"))
         .select("k1", "k2", (F.col("place") - F.col("most")).alias("lo"), (F.col("place") - F.col("least") + kind.length).alias("hi"))
@@ -321,22 +322,26 @@ def repeat_ranges(keyed: DataFrame, kind: Repeat = STRINGS) -> DataFrame:
     """(k1, k2, ranges array<struct<lo, hi>>) of the texts ``keyed`` (k1, k2, _bytes) that hold
     a repeated string: the bytes that such strings cover; ranges may overlap.
 
-    Equal surroundings are counted before anything else is joined, so a passage that a third
-    of all texts hold is one row a task; joins are between written tables, which adaptive
-    execution splits.
+    Classes and surroundings are counted with partial sums, so a passage that a third of all
+    texts hold is one row a task; joins are between written tables, which adaptive execution
+    splits where a key is hot.
     """
     found = materialise(_trigger_table(keyed, kind), "triggers")
+    classes = materialise(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "classes")
+    hot = materialise(found.join(classes, "g", "left_semi"), "hot")
+    discard(found)
     me = F.xxhash64("k1", "k2", "place")  # any one of the triggers with equal surroundings
-    kinds = materialise(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(me).alias("first")), "kinds")
-    classes = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").drop("all")
-    kinds = kinds.join(_if_few(materialise(classes, "classes")), "g").where("n > 1 or kinds > 1")
-    kinds = materialise(kinds, "repeated")
-    marks = found.join(_if_few(kinds), ["g", "c"]).select(
+    kinds = materialise(hot.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(me).alias("first")), "kinds")
+    wide = materialise(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1"), "wide")
+    kinds = kinds.join(wide, "g", "left").where("n > 1 or kinds > 1")
+    again = materialise(kinds.select("g", "c", "n", "first", F.coalesce("kinds", F.lit(1)).alias("kinds")), "again")
+    marks = hot.join(again, ["g", "c"]).select(
         "k1", "k2", "place", (F.col("n") > 1).alias("settled"),
         F.when((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("first") == me)), F.col("g")).alias("g"),
         (F.col("kinds") > IN_TASK).alias("wide"),
     )
     marks = materialise(marks, "marks")
+    discard(hot, again)
     mine = F.struct("place", "g", "wide")
     lists = marks.where("g is not null").groupBy("k1", "k2").agg(F.collect_set(mine).alias("marks"))
     lists = materialise(lists, "lists")
@@ -370,7 +375,9 @@ def repeat_ranges(keyed: DataFrame, kind: Repeat = STRINGS) -> DataFrame:
         "k1", "k2", F.greatest(F.lit(0), F.col("place") - kind.before).alias("lo"), (F.col("place") + kind.length).alias("hi")
     )
     both = settled.unionByName(rims)
-    return materialise(both.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    ranges = materialise(both.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    discard(marks, lists, around)
+    return ranges
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -403,7 +410,8 @@ def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool
     found = found.withColumnRenamed("ranges", "strings")
     if with_passages:
         words = repeat_ranges(keyed.select("k1", "k2", "_bytes"), PASSAGES).withColumnRenamed("ranges", "passages")
-        found = materialise(found.join(words, ["k1", "k2"], "full"), "both")
+        alone, found = (found, words), materialise(found.join(words, ["k1", "k2"], "full"), "both")
+        discard(*alone)
     else:
         found = found.withColumn("passages", F.lit(None).cast(found.schema["strings"].dataType))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -412,23 +420,28 @@ def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool
     types = {"kept": "binary", "n_passage_words": "long"}
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {x} {types[x]}" for x in extra)
 
-    def cover(n: int, ranges: list[dict] | None) -> np.ndarray:
+    def cover(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         edge = np.zeros(n + 1, np.int64)
-        for r in ranges or ():
-            edge[r["lo"]] += 1
-            edge[min(n, r["hi"])] -= 1
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, np.minimum(hi, n), -1)
         return np.cumsum(edge[:n]) > 0
 
+    def bounds(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lo, hi = (column.flatten().field(i).to_numpy() for i in (0, 1))
+        ends = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(column).fill_null(0).to_numpy())))
+        return ((lo[a:b], hi[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices_by_bytes(big, 1, SLICE):
                 out: list[tuple] = []
-                for data, strings, passages in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    n = len(data)
-                    gone = cover(n, strings)
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    words = int(cover(4 * len(data.split()), passages).sum()) // 4 if passages else 0
+                for data, strings, passages in zip(batch.column(1).to_pylist(), bounds(batch.column(2)), bounds(batch.column(3)), strict=True):
+                    n, kept, runs = len(data), data, 0
+                    if len(strings[0]):
+                        gone = cover(n, *strings)
+                        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                        runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    words = int(cover(4 * len(data.split()), *passages).sum()) // 4 if len(passages[0]) else 0
                     out.append((n, n - len(kept), runs, hashlib.sha256(kept).hexdigest(), *[kept] * with_text, *[words] * with_passages))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_text, *[pa.int64()] * with_passages]
                 columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
@@ -446,4 +459,6 @@ def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool
     )
     texts = keyed.join(few, ["k1", "k2"], "left_semi").join(found, ["k1", "k2"])
     trimmed = texts.select("_id", "_bytes", "strings", "passages").mapInArrow(cut, schema)
-    return materialise(whole.unionByName(trimmed), "trimmed")
+    result = materialise(whole.unionByName(trimmed), "trimmed")
+    discard(found)
+    return result
