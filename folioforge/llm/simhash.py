@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, words_of
 from .components import connected_components
+from .line_dedup import line_links, word_shingles, word_sketch
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -218,3 +219,25 @@ def simhash_components(
     found = materialise(simhash_prints(docs, id_col, text_col, shingle, radius), "rooted")
     least = found.groupBy("root").agg(F.min(id_col).alias("component_id"))
     return found.join(least, "root").select(id_col, "fp", "component_id")
+
+
+def near_duplicate_roots(
+    docs: DataFrame, key_col: str, text_col: str = "text", threshold: float = 0.8, radius: int = 4
+) -> DataFrame:
+    """(key, root) for every row of ``docs``: rows with the same root are in one component of
+    documents whose five-word shingles have an exact Jaccard similarity of ``threshold``.
+
+    Fingerprints of five-word shingles, linked through the index, nominate groups; at 0.8 two
+    documents differ in ten of 64 bits on average, which no index of exact tables reaches, so
+    bands of MinHashes nominate what the fingerprints cannot. Every link is verified on the
+    shingles. Words are in lower case; documents of equal words are one node. Null, empty and
+    blank texts are one node without words. Keys may be repeated; an empty table gives none.
+    """
+    words = docs.select(F.col(key_col), F.array_join(words_of(F.lower(F.col(text_col))), " ").alias("line"))
+    words = words.withColumn("h", F.xxhash64("line"))
+    groups = simhash_prints(words.select("h", "line"), "h", "line", 5, radius).select(F.xxhash64("root").alias("bucket"), "h").distinct()
+    groups = materialise(groups, "groups")
+    shared = groups.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    links = line_links(words.select("h", "line"), threshold, word_shingles, word_sketch, groups.join(shared, "bucket"))
+    roots = connected_components(links).toDF("h", "root")
+    return words.drop("line").join(roots, "h", "left").select(key_col, F.coalesce("root", "h").alias("root"))
