@@ -60,12 +60,12 @@ class Repeat:
 
 
 #: Strings of 400 bytes, and passages of over 50 words.
-STRINGS = Repeat(400, 16, 304)
-PASSAGES = Repeat(51 * 4, 16, 160, 4, True)
+STRINGS = Repeat(400, 16, 256)
+PASSAGES = Repeat(51 * 4, 16, 128, 4, True)
 #: Bytes of text that a task parses at once; arrays of eight bytes for each of them are held.
 SLICE = 400_000
 #: Different surroundings of one class that a single task orders, and those it orders at once.
-IN_TASK, AT_ONCE = 1000, 4000
+IN_TASK, AT_ONCE = 4000, 4000
 #: Rows of two numbers up to which a counted table is broadcast (some 30 MB at most).
 BROADCAST_ROWS = 1_000_000
 
