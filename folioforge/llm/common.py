@@ -47,6 +47,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_bytes(written: DataFrame) -> int:
+    """Bytes of the files of a written table."""
+    spark = written.sparkSession
+    conf, path = spark._jsparkSession.sessionState().newHadoopConf(), spark._jvm.org.apache.hadoop.fs.Path
+    folders = {f.rpartition("/")[0] for f in written.inputFiles()}
+    return sum(path(x).getFileSystem(conf).getContentSummary(path(x)).getLength() for x in folders)
+
+
+def broadcast_if_small(written: DataFrame, most: int = 8_000_000) -> DataFrame:
+    """A broadcast hint if the files of a written table have at most ``most`` bytes."""
+    return F.broadcast(written) if written_bytes(written) <= most else written
+
+
 def discard(*written: DataFrame) -> None:
     """Remove the folders of tables that ``materialise`` wrote and nothing reads any more."""
     for df in written:

@@ -1,11 +1,12 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 An item of q distinct shingles lies in a document if the document holds at least a share t of
-them, so it misses at most (1 - t) q. Items are put in classes by size; an item's signature
-is its k smallest shingle hashes, where k exceeds what an item of the class may miss. Any
-document that contains the item then holds a hash of its signature: the search loses nothing,
-however long the document, and documents need no signature of their own. Candidates are
-checked on the shingles themselves. DataFrame expressions throughout.
+them, so it misses at most (1 - t) q. Items are partitioned by size, a power of two to a class.
+Each class has its own index: its items' k smallest shingle hashes, where k exceeds what an item
+of the class may miss by HITS, and its own threshold, the hits of one item that a document needs
+to be a candidate. Any document that contains the item holds that many hashes of its signature:
+the search loses nothing, however long the document, and documents need no signature of their
+own. Candidates are checked on the shingles themselves. DataFrame expressions throughout.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, row_key, words_of
+from .common import broadcast_if_small, let, materialise, row_key, words_of
 
-#: Rows up to which a counted table (signatures, candidates) is broadcast; others are shuffled.
-BROADCAST_ROWS = 500_000
+#: Hits of one item's signature that make a document a candidate, where the item is large enough.
+HITS = 3
 
 
 def plain_words(text: Column) -> Column:
@@ -62,16 +63,17 @@ def item_shingles(items: DataFrame, item_col: str, text_col: str, k: int) -> Dat
 
 
 def signatures(shingled: DataFrame, threshold: float) -> DataFrame:
-    """(item_id, width, h): as many of an item's smallest hashes as exceed what an item of its
-    size class may miss. Classes end at powers of two."""
-    top = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("q").cast("double"))))
-    k = F.least(F.col("q"), F.floor(top * (1 - threshold) + 1e-9).cast("int") + 1)
-    return shingled.select("item_id", "width", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), k)).alias("h"))
-
-
-def _maybe_broadcast(table: DataFrame) -> DataFrame:
-    """A broadcast hint if the written table is counted and small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """(size_class, need, item_id, width, h): the index of every size class, which ends at a
+    power of two. An item's signature has ``need`` hashes more than an item of its class may
+    miss, less one; a small item's is all of its hashes, and it needs what it cannot miss."""
+    size_class = F.ceil(F.log2(F.col("q").cast("double")))
+    missed = F.floor(F.pow(F.lit(2.0), size_class) * (1 - threshold) + 1e-9).cast("int")
+    k = F.least(F.col("q"), missed + HITS)
+    own = F.floor(F.col("q") * (1 - threshold) + 1e-9).cast("int")
+    return shingled.select(
+        size_class.alias("size_class"), F.greatest(F.lit(1), k - F.least(own, missed)).alias("need"), "item_id", "width",
+        F.explode(F.slice(F.array_sort("hashes"), F.lit(1), k)).alias("h"),
+    )
 
 
 def contaminated(
@@ -89,8 +91,9 @@ def contaminated(
 
     Words are runs of letters and digits in lower case. Items without a word (null, empty)
     are contained nowhere; items of fewer words than a shingle are one shingle. Null and
-    empty documents contain nothing. Repeated rows give repeated results. _key is the row key
-    of (id, text) by which rows of ``docs`` can be told apart.
+    empty documents contain nothing. Repeated rows give repeated results; texts of any length are
+    searched whole; other columns of either table are not read. _key is the row key of (id, text)
+    by which rows of ``docs`` can be told apart.
     """
     shingled = materialise(item_shingles(items.dropDuplicates([item_col, item_text_col]), item_col, item_text_col, shingle), "items")
     wanted = materialise(signatures(shingled, threshold), "signatures")
@@ -102,18 +105,18 @@ def contaminated(
             id_col, "_key", F.lit(None).cast(items.schema[item_col].dataType).alias("item_id"), F.lit(0).alias("n_shingles"),
             F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment"),
         )
-    signs = _maybe_broadcast(wanted)
+    signs = broadcast_if_small(wanted)
     probes = None
     for k in widths:
         hashes = let(plain_words(F.col("_text")), lambda w: shingle_hashes(w, k))  # noqa: B023
         part = keyed.select(id_col, "_key", F.lit(k).alias("width"), F.explode(hashes).alias("h"))
         probes = part if probes is None else probes.unionByName(part)
-    candidates = materialise(
-        probes.join(signs, ["width", "h"]).select(F.col(id_col).alias("_id"), "_key", "item_id").distinct(), "candidates"
-    )
+    hits = probes.join(signs, ["width", "h"]).groupBy(F.col(id_col).alias("_id"), "_key", "item_id", "size_class", "need")
+    candidates = hits.agg(F.count("*").alias("hits")).where("hits >= need").select("_id", "_key", "item_id")
+    candidates = materialise(candidates, "candidates")
     same = keyed["_key"].eqNullSafe(candidates["_key"]) & keyed[id_col].eqNullSafe(candidates["_id"])
-    met = keyed.join(_maybe_broadcast(candidates), same).select(keyed[id_col], keyed["_key"], "item_id", "_text")
-    full = met.join(_maybe_broadcast(shingled.select("item_id", "width", "texts", "q")), "item_id")
+    met = keyed.join(broadcast_if_small(candidates), same).select(keyed[id_col], keyed["_key"], "item_id", "_text")
+    full = met.join(broadcast_if_small(shingled.select("item_id", "width", "texts", "q")), "item_id")
 
     def shared(words: Column) -> Column:
         texts = shingle_texts(words, shingle)
@@ -130,9 +133,10 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that contain no item; all columns as they were."""
+    """The rows of ``docs`` that contain no item; all columns as they were, whatever their names."""
     found = contaminated(docs, items, id_col=id_col, text_col=text_col, **options)
     found = materialise(found.select(F.col(id_col).alias("_id"), "_key").distinct(), "contaminated")
-    keyed = docs.withColumn("_key", row_key(id_col, text_col))
-    same = keyed["_key"].eqNullSafe(found["_key"]) & keyed[id_col].eqNullSafe(found["_id"])
-    return keyed.join(_maybe_broadcast(found), same, "left_anti").drop("_key")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    bare = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), row)
+    same = F.xxhash64("i", "t").eqNullSafe(found["_key"]) & F.col("i").eqNullSafe(found["_id"])
+    return bare.join(broadcast_if_small(found), same, "left_anti").select("row.*")

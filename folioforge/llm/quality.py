@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, materialise, words_of
+from .common import SPACE_CLASS, fresh, let, materialise, words_of
 
 #: Fixed values of the base measures.
 SYMBOLS = r"[#*$%&|<>]"
@@ -70,8 +70,8 @@ def repeated_window_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(eight)
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_m`` of what the rules need. Null texts count as empty."""
+def measure(docs: DataFrame, text_col: str = "text", name: str = "_m") -> DataFrame:
+    """``docs`` with a struct ``name`` of what the rules need. Null texts count as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(rf"[^{SPACE_CLASS[1:]}"))
     functions = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
@@ -91,7 +91,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
         )
 
-    return docs.withColumn("_m", let(words_of(F.col(text_col)), of))
+    return docs.withColumn(name, let(words_of(F.col(text_col)), of))
 
 
 def votes(m: Column) -> list[Column]:
@@ -195,8 +195,8 @@ def score_quality(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     """
     carry = docs.columns if carry is None else carry
     own = [*BASE, "votes", "quality", "base_failed", "kept"]
-    measured = measure(docs, text_col)
-    m = F.col("_m")
+    name = fresh(docs.columns, "_m")
+    measured, m = measure(docs, text_col, name), F.col(name)
     flat = measured.select(
         *[F.col(f"`{c}`") for c in carry if c not in own],
         *[m[c].alias(c) for c in BASE],

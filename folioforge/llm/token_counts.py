@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenize
-from .common import scratch_path
+from .common import discard, materialise, shared_folder
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -39,24 +39,28 @@ def count_tokens(
 
     Contents are normalised as the vocabulary itself would: a null text is the empty text and
     nothing else changes, so the digest is SHA-256 of the UTF-8 bytes; the version is SHA-256
-    of the vocabulary file. Digests that the cache at ``cache_path`` (by default a new one in
-    the shared folder) does not hold are encoded once each, however many rows share them, and
-    appended. Copies meet by partial aggregation, so a text that a third of all rows share
-    moves once from each task. A cached result of another vocabulary is never used. Repeated
-    rows give repeated results; an empty table gives none and leaves the cache as it was.
+    of the vocabulary file. Digests that the cache at ``cache_path`` does not hold are encoded
+    once each (rows equal in id and text each time), however many rows share them, and appended.
+    By default the cache is ``folioforge/token-counts`` in the shared folder; it lasts, so a later
+    run over the same contents encodes nothing. Digests meet by partial aggregation, so a text
+    that a third of all rows share does not meet itself. A cached result of another vocabulary is
+    never used. Very long texts are encoded whole; other columns are not read. Repeated rows
+    give repeated results; an empty table gives none and stores none.
     """
     spark = docs.sparkSession
-    cache_path = cache_path or scratch_path(spark, "token-cache")
+    cache_path = cache_path or f"{shared_folder(spark)}/folioforge/token-counts"
     version = tokenize.file_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
         F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"),
         F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("_text"),
-    )
-    stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
-    misses = (
-        keyed.select("digest", "_text").join(stored, "digest", "left_anti").groupBy("digest").agg(F.first("_text").alias("t"))
-    )
+    )
+    stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest")
+    # of the rows of a digest one is named by numbers alone, before any text moves
+    chosen = keyed.select("digest", F.xxhash64(id_col).alias("of")).groupBy("digest").agg(F.min("of").alias("of"))
+    chosen = materialise(chosen.join(stored, "digest", "left_anti"), "uncounted")
+    one = keyed.select("digest", F.xxhash64(id_col).alias("of"), "_text")
+    misses = one.join(chosen, ["digest", "of"], "left_semi").select("digest", "_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = tokenize.counter(tokenizer_path)
@@ -65,7 +69,9 @@ def count_tokens(
             tag = pa.array([version] * batch.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), tag, n], names=["digest", "tokenizer", "n_tokens"])
 
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    if not chosen.isEmpty():
+        misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    discard(chosen)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     return keyed.join(counts, "digest", "left").select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

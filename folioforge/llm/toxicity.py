@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices_by_bytes
+from .common import materialise, slices_by_bytes
 from .tokenize import REMEMBERED
 
-#: Labelled documents that the model is fitted on, at most.
-SAMPLE_ROWS = 2500
+#: Labelled documents that the model is fitted on, at most, and bytes of their texts together.
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 24_000_000
 #: Words of a chain that are worked on at once, and the words before and after them that are
 #: run through first; the chain forgets its start long before.
 STRETCH, LEAD = 256, 48
@@ -198,21 +198,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01, rounds: int = 50)
 
 
 def training_sample(
-    docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str
+    docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, id_col: str, text_col: str, label_col: str
 ) -> tuple[DataFrame, float]:
-    """At most ``rows`` labelled texts of the training folds, drawn by a hash of the id, two
-    fifths of them toxic where there are as many; and the log-odds of toxic among all labels
-    there. Folds: crc32 of the id as text, mod 5; remainder 0 is held out."""
+    """At most ``rows`` labelled texts of the training folds, of at most ``most_bytes`` together,
+    drawn by a hash of the id, two fifths of them toxic where there are as many; and the
+    log-odds of toxic among all labels there. An id with several rows gives its least text. Folds:
+    crc32 of the id as text, mod 5; remainder 0 is held out."""
+    spark = docs.sparkSession
     fold = F.crc32(F.col(id_col).cast("string")) % 5
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold != 0))
     known = known.groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_label"))
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     odds = np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))
-    first = lambda label, n: known.where(F.col("_label") == label).orderBy(F.xxhash64(id_col), id_col).limit(n)
+    order = F.xxhash64(id_col)
+    first = lambda label, n: known.where(F.col("_label") == label).orderBy(order, id_col).limit(n)
     toxic = min(counts.get(1, 0), rows * 2 // 5)
     drawn = first(1, toxic).unionByName(first(0, rows - toxic))  # a bounded table
-    texts = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
-    return texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_label", F.col(id_col).alias("id")), odds
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(id_col, text.alias("text")).join(F.broadcast(drawn), id_col)
+    texts = materialise(texts.groupBy(F.col(id_col).alias("id"), "_label").agg(F.min("text").alias("text")), "labelled")
+    # one row for each id drawn: what fits into the bytes, in the order of the draw
+    sizes = texts.select("id", F.xxhash64("id").alias("h"), F.octet_length("text").alias("n")).collect()
+    chosen, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["id"])):
+        if total + r["n"] <= most_bytes:
+            chosen.append((r["id"],))
+            total += r["n"]
+    ids = spark.createDataFrame(chosen, texts.select("id").schema)
+    return texts.join(F.broadcast(ids), "id"), odds
 
 
 def score_toxicity(
@@ -222,6 +235,7 @@ def score_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     sample_rows: int = SAMPLE_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
     with_spans: bool = False,
 ) -> DataFrame:
     """(id, held_out, score, predicted, n_toxic[, spans]) for every row of ``docs``.
@@ -231,10 +245,12 @@ def score_toxicity(
     words with a marginal of 0.5 or more, in code points. Null, empty and blank texts have no
     words and get the score of a document without toxic words. A null id is held out of
     nothing: held_out is false. Without labels of both kinds every score is the share of
-    toxic ones (0.5 without any). The model is fitted on at most ``sample_rows`` labelled rows
-    of the training folds; the rest covers every row whole.
+    toxic ones (0.5 without any). The model is fitted on at most ``sample_rows`` labelled texts
+    of the training folds, of at most ``sample_bytes`` together, one for an id; the rest covers
+    every row whole, very long texts in stretches. Repeated rows give repeated results, other
+    columns are not read, an empty table gives none.
     """
-    drawn, odds = training_sample(docs, labels, sample_rows, id_col, text_col, label_col)
+    drawn, odds = training_sample(docs, labels, sample_rows, sample_bytes, id_col, text_col, label_col)
     sample = sorted((r["id"], r["text"], r["_label"]) for r in drawn.collect())
     model = train([t for _, t, _ in sample], [x for _, _, x in sample], odds)
     del sample
