@@ -178,8 +178,8 @@ def suffix_order(group: np.ndarray, strings: list[bytes], wide: int) -> tuple[np
     order = np.array(sorted(range(len(strings)), key=lambda i: (group[i], strings[i])), np.int64)
     table = np.zeros((len(strings), wide + 1), np.uint8)
     for i, x in enumerate(strings):
-        table[i, : len(x)] = np.frombuffer(x, np.uint8)
-    size = np.array([len(x) for x in strings], np.int64)[order]
+        table[i, : min(len(x), wide)] = np.frombuffer(x[:wide], np.uint8)
+    size = np.minimum(np.array([len(x) for x in strings], np.int64), wide)[order]
     common = np.full(len(strings), -1, np.int64)
     if len(strings) > 1:
         ranked = table[order]
