@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, html_text, line_dedup, packing, quality, repeats, simhash, token_counts, token_shards, toxicity
 
+from .common import shared_folder
 
 OP9_SQL = r"""
 WITH words AS (
@@ -75,7 +77,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    """The cache lasts and belongs to the folder of the input: a second run over it encodes nothing."""
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    cache = f"{shared_folder(spark)}/folioforge/token-counts-{name}"
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
