@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for a row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(
         x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1")
@@ -39,6 +44,46 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
 
 
+def read_problem(values: Column) -> Column:
+    """Struct (box, reordered, recoded) of four values given as text: whether corners were turned
+    round, and whether a number was written in another way than plain decimals. Null unless
+    there are four finite numbers."""
+    given = F.transform(values, lambda v: v.try_cast("double"))
+    fine = (F.size(values) == 4) & F.forall(given, lambda n: n.isNotNull() & ~F.isnan(n) & (F.abs(n) < F.lit(float("inf"))))
+    plain = F.forall(values, lambda v: v.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)$"))
+    at = lambda n, i: F.get(n, F.lit(i))
+
+    def read(n: Column) -> Column:
+        turned = (at(n, 2) < at(n, 0)) | (at(n, 3) < at(n, 1))
+        return F.struct(ordered(box(*[at(n, i) for i in range(4)])).alias("box"), turned.alias("reordered"), (~plain).alias("recoded"))
+
+    return let(F.when(fine, given), lambda n: F.when(n.isNotNull(), read(n)))
+
+
+def repairs(media: Column, sub: Column) -> Column:
+    """Struct (box, media_kinds, kinds) of a page's inner box and its media box, both as arrays of
+    four texts: every repair that each needs. An inner box may be turned round, written anew and
+    then clamped or discarded; an empty media box limits nothing. A box that cannot be read
+    stays as it is."""
+    kinds = lambda b, *more: F.array_compact(F.array(F.when(b["reordered"], "reordered"), F.when(b["recoded"], "recoded"), *more))
+    none = F.array().cast("array<string>")
+
+    def within(x: Column) -> Column:
+        m, s, inside = x["m"], x["s"], x["inside"]
+        limit = m.isNotNull() & ~is_empty(m["box"])
+        lost = F.coalesce(limit & is_empty(inside), F.lit(False))
+        own = kinds(s, F.when(lost, "discarded").when(limit & (inside != s["box"]), "clamped"))
+        return F.struct(
+            F.when(s.isNotNull() & ~lost, F.when(limit, inside).otherwise(s["box"])).alias("box"),
+            F.coalesce(F.when(m.isNotNull(), kinds(m, F.when(is_empty(m["box"]), "degenerate_mediabox"))), none).alias("media_kinds"),
+            F.coalesce(F.when(s.isNotNull(), own), none).alias("kinds"),
+        )
+
+    both = F.struct(read_problem(media).alias("m"), read_problem(sub).alias("s"))
+    met = let(both, lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), meet(x["s"]["box"], x["m"]["box"]).alias("inside")))
+    return let(met, within)
+
+
 def repair(media: Column, sub: Column) -> Column:
     """Struct (box, kind) of a page's inner box against its media box: clamped to it, discarded
     if nothing is left, null kind if it stays. An empty media box limits nothing."""
@@ -84,3 +129,24 @@ def transform_box(b: Column, m: Column) -> Column:
     xs = [b[x] * m["a"] + b[y] * m["c"] + m["e"] for x in ("x0", "x1") for y in ("y0", "y1")]
     ys = [b[x] * m["b"] + b[y] * m["d"] + m["f"] for x in ("x0", "x1") for y in ("y0", "y1")]
     return box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+
+
+def layer_matrix(text_width: Column, text_height: Column, width: Column, height: Column, x: Column, y: Column, rotation: Column) -> Column:
+    """The affine map that lays a text layer on a page: centred, turned clockwise by a multiple of
+    a right angle, scaled to the page, moved to its corner. Null if that changes nothing."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    turn = F.pmod(-rotation, F.lit(360))
+    cos = F.when(turn == 0, 1.0).when(turn == 180, -1.0).otherwise(0.0)
+    sin = F.when(turn == 90, 1.0).when(turn == 270, -1.0).otherwise(0.0)
+    swapped = rotation.isin(90, 270)
+    w, h = F.when(swapped, text_height).otherwise(text_width), F.when(swapped, text_width).otherwise(text_height)
+    scale = lambda page, own: F.coalesce(page / F.nullif(own, F.lit(0.0)), one)
+    steps = [
+        affine(one, zero, zero, one, -text_width / 2, -text_height / 2), affine(cos, sin, -sin, cos, zero, zero),
+        affine(scale(width, w), zero, zero, scale(height, h), zero, zero), affine(one, zero, zero, one, width / 2 + x, height / 2 + y),
+    ]
+    m = steps[0]
+    for step in steps[1:]:
+        m = let(F.struct(m.alias("m"), step.alias("n")), lambda p: compose(p["m"], p["n"]))
+    changes = lambda m: (m["a"] != 1) | (m["b"] != 0) | (m["c"] != 0) | (m["d"] != 1) | (m["e"] != 0) | (m["f"] != 0)
+    return let(m, lambda m: F.when(changes(m), m))

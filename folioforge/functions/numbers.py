@@ -141,3 +141,84 @@ def rank_of(x: Column, names: list[str]) -> Column:
     for i, name in enumerate(names):
         out = F.when(x == name, i).otherwise(out)
     return out
+
+
+def component_max(*pairs: Column) -> Column:
+    """Struct (x, y) of the largest x and the largest y of resolutions."""
+    return F.struct(F.greatest(*[p["x"] for p in pairs]).alias("x"), F.greatest(*[p["y"] for p in pairs]).alias("y"))
+
+
+def component_min(*pairs: Column) -> Column:
+    return F.struct(F.least(*[p["x"] for p in pairs]).alias("x"), F.least(*[p["y"] for p in pairs]).alias("y"))
+
+
+def printed_area(width: Column, height: Column, x_dpi: Column, y_dpi: Column, renderable: Column) -> Column:
+    """Square inches that an image covers; none if it cannot be rendered."""
+    area = (width / F.nullif(x_dpi, F.lit(0.0))) * (height / F.nullif(y_dpi, F.lit(0.0)))
+    return F.when(renderable, area).otherwise(F.lit(0.0))
+
+
+def renderable(x_dpi: Column, y_dpi: Column, width: Column, height: Column, stencil: Column) -> Column:
+    """Whether an image counts for a page's resolution."""
+    return is_finite(x_dpi) & is_finite(y_dpi) & (width >= 0) & (height >= 0) & ~stencil
+
+
+def pixels(inches: Column, dpi: Column) -> Column:
+    """Whole pixels of a length, halves to even."""
+    return F.bround(inches * dpi).cast("int")
+
+
+def skew_degrees(radians: Column) -> Column:
+    return F.degrees(radians)
+
+
+def low_resolution_size(width: Column, height: Column, x_dpi: Column, y_dpi: Column, least: float = 10.0) -> Column:
+    """Struct (x, y, width, height): the resolution that a page is really rendered at, which has a
+    floor, and the pixels it is then scaled back to; at least one each way."""
+    x, y = F.greatest(x_dpi, F.lit(least)), F.greatest(y_dpi, F.lit(least))
+    back = lambda n, asked, real: F.greatest(F.lit(1), F.bround(n * (asked / real)).cast("int"))
+    low = (x_dpi < least) | (y_dpi < least)
+    return F.struct(
+        x.alias("x"), y.alias("y"), F.when(low, back(width, x_dpi, x)).otherwise(width).alias("width"),
+        F.when(low, back(height, y_dpi, y)).otherwise(height).alias("height"),
+    )
+
+
+def expected_size(width: Column, height: Column, x_dpi: Column, y_dpi: Column, rotation: Column) -> Column:
+    """Struct (width, height) of pixels of a page in points, turned with the page."""
+    w, h = F.bround(width * F.bround(x_dpi, 6) / 72.0).cast("int"), F.bround(height * F.bround(y_dpi, 6) / 72.0).cast("int")
+    turned = wrap(rotation, 180) == 90
+    return F.struct(F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"))
+
+
+def plausible_aspect(width: Column, height: Column, natural: Column, font_size: Column, angle: Column, least: float = 0.1) -> Column:
+    """Whether a line's box can hold its text: taller boxes than wide are compared with the box
+    that the text would take at its slope (degrees)."""
+    turn = F.radians(F.abs(angle))
+    wide = natural * F.cos(turn) + font_size * F.sin(turn)
+    tall = natural * F.sin(turn) + font_size * F.cos(turn)
+    unknown = (width <= 0) | (height <= 0) | (font_size <= 0) | (width >= height) | (natural <= 0) | (tall <= 0)
+    ratio = (width / F.nullif(height, F.lit(0.0))) / F.nullif(wide / F.nullif(tall, F.lit(0.0)), F.lit(0.0))
+    return unknown | F.coalesce(ratio >= least, F.lit(True))
+
+
+def worth_linearising(size: Column, megabytes: Column) -> Column:
+    """Whether a file is large enough for the web layout."""
+    return size > megabytes * 1_000_000
+
+
+def smallest(sizes: dict[str, Column]) -> Column:
+    """The name of the smallest of several encodings; the first named wins ties, nulls are out."""
+    best = F.least(*sizes.values()) if len(sizes) > 1 else next(iter(sizes.values()))
+    out = F.lit(None).cast("string")
+    for name, size in reversed(list(sizes.items())):
+        out = F.when(size == best, name).otherwise(out)
+    return out
+
+
+#: Fixed value: pixels from which a page image is not cleaned.
+TOO_LARGE_TO_CLEAN = 256 * 1024 * 1024
+
+
+def cleanable(width: Column, height: Column) -> Column:
+    return width.cast("long") * height < TOO_LARGE_TO_CLEAN

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from .storage import settled
 
 
 def compress_ranges(table: DataFrame, keys: list[str], order: str, item: str) -> DataFrame:
@@ -34,11 +35,17 @@ def merge_sidecars(table: DataFrame, keys: list[str], order: str, item: str) ->
     return ranges.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["_text"]), "\f").alias("sidecar"))
 
 
-def format_pages(table: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """(keys, pages): distinct numbers from 0, printed from 1 with runs as ``a-b``."""
-    distinct = table.select(*keys, F.col(number).alias("_n")).distinct()
-    island = F.col("_n") - F.row_number().over(Window.partitionBy(*keys).orderBy("_n"))
-    runs = distinct.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("_n").alias("a"), F.max("_n").alias("b"))
+def format_pages(table: DataFrame, keys: list[str], number: str, block: int = 65536) -> DataFrame:
+    """(keys, pages): distinct numbers from 0, printed from 1 with runs as ``a-b``. Runs are found
+    within blocks of numbers, which are many tasks' work, and joined where blocks meet."""
+    distinct = table.select(*keys, F.col(number).cast("long").alias("_n")).distinct()
+    distinct = distinct.withColumn("_block", F.floor(F.col("_n") / block))
+    island = F.col("_n") - F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("_n"))
+    runs = distinct.withColumn("_island", island).groupBy(*keys, "_block", "_island").agg(F.min("_n").alias("a"), F.max("_n").alias("b"))
+    w = Window.partitionBy(*keys).orderBy("a")
+    starts = F.coalesce(F.lag("b").over(w) + 1 < F.col("a"), F.lit(True)).cast("int")
+    runs = runs.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(w))
+    runs = runs.groupBy(*keys, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     shown = F.when(F.col("a") == F.col("b"), (F.col("a") + 1).cast("string")).otherwise(
         F.concat_ws("-", (F.col("a") + 1).cast("string"), (F.col("b") + 1).cast("string"))
     )
@@ -62,33 +69,6 @@ def stack_depth(table: DataFrame, keys: list[str], order: list[str], step: Colum
     return total.withColumn("depth", (F.col("_sum") - lowest).cast("long")).drop("_sum")
 
 
-def stack_fold(table: DataFrame, keys: list[str], order: list[str], limit: int = 128) -> DataFrame:
-    """(keys, draws): matrices in force at each draw of a page's operators.
-
-    ``table`` has op (push, pop, move, draw) and matrix (struct a..f, for move). A page's
-    operators are one array in order; the state is the current matrix and the stack. The
-    stack holds at most ``limit`` matrices, as readers do.
-    """
-    six = [F.lit(v) for v in (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
-    one = boxes.affine(*six)
-    none = F.array().cast("array<struct<a:double,b:double,c:double,d:double,e:double,f:double>>")
-    start = F.struct(one.alias("m"), none.alias("stack"), none.alias("draws"))
-
-    def step(state: Column, x: Column) -> Column:
-        m, stack, draws = state["m"], state["stack"], state["draws"]
-        push = (x["op"] == "push") & (F.size(stack) < limit)
-        pop = (x["op"] == "pop") & (F.size(stack) > 0)
-        return F.struct(
-            F.when(pop, F.element_at(stack, -1)).when(x["op"] == "move", boxes.compose(x["matrix"], m)).otherwise(m).alias("m"),
-            F.when(push, F.concat(stack, F.array(m))).when(pop, F.slice(stack, F.lit(1), F.size(stack) - 1)).otherwise(stack).alias("stack"),
-            F.when(x["op"] == "draw", F.concat(draws, F.array(m))).otherwise(draws).alias("draws"),
-        )
-
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "op", "matrix")))
-    grouped = table.groupBy(*keys).agg(ordered.alias("_ops"))
-    return grouped.select(*keys, F.aggregate("_ops", start, step, lambda s: s["draws"]).alias("draws"))
-
-
 def dedupe_messages(messages: Column, window: int = 5) -> Column:
     """Array of the messages that a log shows: one that is among the last ``window`` shown is
     held back; the next new one is preceded by a note of how many were, and starts anew."""
@@ -141,12 +121,17 @@ def tree_paths(nodes: DataFrame, depth: int) -> DataFrame:
 
 
 def reachable(spark, edges: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
-    """(root, id): nodes within ``depth`` steps of each root; each once, cycles end."""
-    edges.createOrReplaceTempView("_edges")
-    roots.createOrReplaceTempView("_roots")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(root, id, depth) AS (
-          SELECT root, root, 0 FROM _roots
-          UNION ALL
-          SELECT w.root, e.dst, w.depth + 1 FROM walk w JOIN _edges e ON e.src = w.id WHERE w.depth < {int(depth)}
-        ) SELECT DISTINCT root, id FROM walk WHERE depth > 0""")
+    """(root, id): nodes within ``depth`` steps of each root; each once, cycles end.
+
+    Breadth first: a step goes on only from what the last one reached for the first time, so a
+    graph costs its edges once for each root, however many ways lead to a node.
+    """
+    steps = settled(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct(), "steps")
+    front, seen = settled(roots.select("root", F.col("root").alias("id")).distinct(), "front"), None
+    for _ in range(depth):
+        reached = front.join(steps, front["id"] == steps["_at"]).select("root", F.col("_to").alias("id")).distinct()
+        front = settled(reached if seen is None else reached.join(seen, ["root", "id"], "left_anti"), "front")
+        if seen is not None and front.isEmpty():
+            break
+        seen = front if seen is None else seen.unionByName(front)
+    return seen

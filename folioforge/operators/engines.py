@@ -8,12 +8,14 @@ come back without text, images unchanged.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Hooks whose first result counts, and hooks that all handlers hear.
 FIRST = {
@@ -62,3 +64,48 @@ def recognise(pages: DataFrame, hooks: Hooks) -> DataFrame:
     """(doc_id, pageno, text, orientation, confidence) by the registered engine, in batches."""
     engine = hooks.call("recognise") or null_engine
     return pages.mapInPandas(engine, PAGE_RESULT)
+
+
+def filtered(pages: DataFrame, hooks: Hooks, hook: str) -> DataFrame:
+    """``pages`` through the first handler of an image or page filter, in batches of pandas frames of
+    the same columns; without one, as they are."""
+    handler = next(iter(hooks.handlers.get(hook, [])), None)
+    return pages.mapInPandas(handler, pages.schema) if handler else pages
+
+
+def rasterised(pages: DataFrame, hooks: Hooks) -> DataFrame:
+    """``pages`` with image: what the first rasteriser makes of each batch; it is an error to have
+    none, as nothing else can stand for it."""
+    handler = next(iter(hooks.handlers.get("rasterise_page", [])), None)
+    if handler is None:
+        raise LookupError("no rasteriser is registered")
+    return pages.mapInPandas(handler, StructType([*pages.schema.fields, StructField("image", BinaryType())]))
+
+
+def per_document(pages: DataFrame, hooks: Hooks, hook: str, schema: str) -> DataFrame:
+    """One call of an archive or optimising handler for each document, on its pages in order: a pandas
+    frame in, rows of ``schema`` out. A document's pages are one task's work."""
+    handler = next(iter(hooks.handlers.get(hook, [])), None)
+    if handler is None:
+        raise LookupError(f"no handler of {hook} is registered")
+    return pages.groupBy("doc_id").applyInPandas(lambda p: handler(p.sort_values("pageno")), schema)
+
+
+def checked(hooks: Hooks, options: dict) -> list[str]:
+    """What the handlers of check_options object to, all of it."""
+    return [problem for found in hooks.call("check_options", options) for problem in found]
+
+
+def registered_options(hooks: Hooks) -> dict[str, dict]:
+    """Options of all handlers by name space; a later name space does not hide an earlier one."""
+    spaces: dict[str, dict] = {}
+    for own in reversed(hooks.call("register_options")):
+        for name, fields in own.items():
+            spaces[name] = spaces.get(name, {}) | fields
+    return spaces
+
+
+@F.pandas_udf(BinaryType())
+def deflated(data: pd.Series) -> pd.Series:
+    """Bytes compressed, where that makes them smaller; otherwise as they are."""
+    return data.map(lambda x: None if x is None else min(zlib.compress(bytes(x), 9), bytes(x), key=len))

@@ -23,12 +23,14 @@ def truncated_copies(
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_s{i}") for i, c in enumerate(signature)]
     names = [f"_s{i}" for i in range(len(signature))]
     cut = F.explode(F.sequence(F.lit(1), F.lit(most)))
+    prefix = F.xxhash64(F.expr("substring(_full, 1, length(_full) - _cut)")).alias("_h")
     longer = originals.select(F.col(id_col).alias("_o"), F.col(content).alias("_full"), *keys, cut.alias("_cut"))
-    longer = longer.where(F.length("_full") >= F.col("_cut"))
-    longer = longer.select("_o", *names, F.xxhash64(F.expr("substring(_full, 1, length(_full) - _cut)")).alias("_h"), "_full")
+    longer = longer.where(F.length("_full") >= F.col("_cut")).select("_o", *names, prefix)  # keys move, texts stay
     short = damaged.select(F.col(id_col), F.col(content).alias("_short"), *keys, F.xxhash64(content).alias("_h"))
-    met = short.join(longer, [*names, "_h"]).where(F.startswith("_full", F.col("_short")))
-    return met.groupBy(id_col).agg(F.min("_o").alias("original"))
+    met = short.drop("_short").join(longer, [*names, "_h"]).select(id_col, "_o")
+    texts = damaged.select(F.col(id_col), F.col(content).alias("_short"))
+    met = met.join(texts, id_col).join(originals.select(F.col(id_col).alias("_o"), F.col(content).alias("_full")), "_o")
+    return met.where(F.startswith("_full", F.col("_short"))).groupBy(id_col).agg(F.min("_o").alias("original"))
 
 
 def dangling(links: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
@@ -61,16 +63,16 @@ def first_covering(words: DataFrame, word: str, fonts: list[tuple[str, str]], fa
 
 
 def dictionary_share(docs: DataFrame, id_col: str, text_col: str, dictionary: DataFrame) -> DataFrame:
-    """(id, words, matched, share): how many of a text's distinct words a dictionary (word)
-    has, as they are or in lower case. Two equi joins, not one on either form; whether the
-    dictionary is broadcast is left to its size at run time."""
-    words = docs.select(id_col, F.explode(quality_words(F.col(text_col))).alias("word"))
+    """(id, words, matched, share): how many of a text's distinct words a dictionary (word) has, as
+    they are or in lower case; a text without words has a share of 0. Two equi joins, not one on
+    either form; whether the dictionary is broadcast is left to its size at run time."""
+    words = docs.select(id_col, F.explode_outer(quality_words(F.col(text_col))).alias("word"))
     as_is = dictionary.select("word", F.lit(True).alias("_as_is"))
     lower = dictionary.select(F.col("word").alias("_low"), F.lit(True).alias("_lower"))
     met = words.withColumn("_low", F.lower("word")).join(as_is, "word", "left").join(lower, "_low", "left")
     hit = F.coalesce("_as_is", "_lower", F.lit(False))
-    out = met.groupBy(id_col).agg(F.count("*").alias("words"), F.count_if(hit).alias("matched"))
-    return out.withColumn("share", F.try_divide(F.col("matched").cast("double"), F.col("words")))
+    out = met.groupBy(id_col).agg(F.count("word").alias("words"), F.count_if(hit).alias("matched"))
+    return out.withColumn("share", F.coalesce(F.try_divide(F.col("matched").cast("double"), F.col("words")), F.lit(0.0)))
 
 
 def union_scans(scans: list[DataFrame]) -> DataFrame:
@@ -83,3 +85,25 @@ def override(base: Column, own: Column) -> Column:
     filled = F.map_filter(own, lambda _, v: v.isNotNull() & (v != ""))
     rest = F.map_filter(base, lambda k, _: ~F.map_contains_key(filled, k))
     return F.map_concat(rest, filled)
+
+
+def without_entries(held: Column, new: Column, keep: list[str]) -> Column:
+    """Entries of a map that go: neither in ``new`` nor named in ``keep``, sorted by name."""
+    return F.array_sort(F.array_except(F.array_except(F.map_keys(held), F.map_keys(new)), F.array(*[F.lit(k) for k in keep])))
+
+
+def merged_properties(original: Column, output: Column, given: Column) -> Column:
+    """Struct (properties, lost) of a document: what the output has, what the original had besides
+    and the given ones; given ones that are empty are taken out, and are not lost."""
+    filled = F.map_filter(given, lambda _, v: v != "")
+    removed = F.map_filter(given, lambda _, v: v == "")
+    base = override(original, output)
+    kept = F.map_filter(override(base, filled), lambda k, _: ~F.map_contains_key(removed, k))
+    lost = F.array_sort(F.array_except(F.array_except(F.map_keys(original), F.map_keys(output)), F.map_keys(removed)))
+    return F.struct(kept.alias("properties"), lost.alias("lost"))
+
+
+def graft(pages: DataFrame, layers: DataFrame, on: list[str]) -> DataFrame:
+    """Every page with its text layer, where it has one; ``grafted`` tells. A layer without a page
+    is an error of the caller and is left out."""
+    return pages.join(layers.withColumn("grafted", F.lit(True)), on, "left").withColumn("grafted", F.coalesce("grafted", F.lit(False)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, numbers, text
-from ..operators import assembly, engines, matching, pages
+from ..operators import assembly, engines, folds, matching, pages
 from ..sources import files, recognised
 from ..streaming import folder
 
@@ -64,10 +64,10 @@ FROM (SELECT l_orderkey, sum(l_extendedprice) / sum(l_extendedprice / l_quantity
 """)
 def raster_dpi(spark, sf):
     draws = _t(spark, sf, "lineitem").where("l_returnflag <> 'R'")
-    profile = pages.resolution_profile(draws, ["l_orderkey"], "l_quantity", "l_extendedprice", LINE_ORDER)
-    rich = draws.groupBy("l_orderkey").agg(F.bool_or((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")).alias("rich"))
+    rich = F.bool_or((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A"))
+    profile = pages.resolution_profile(draws, ["l_orderkey"], "l_quantity", "l_extendedprice", LINE_ORDER, {"rich": rich})
     dpi = F.when(F.col("ratio") < 0.8, F.col("weighted_dpi")).otherwise(F.col("max_dpi"))
-    return profile.join(rich, "l_orderkey").select("l_orderkey", _r(numbers.square_dpi(dpi, F.col("rich"), 30.0)).alias("dpi"))
+    return profile.select("l_orderkey", _r(numbers.square_dpi(dpi, F.col("rich"), 30.0)).alias("dpi"))
 
 
 @query("""
@@ -266,7 +266,7 @@ def iso_lookup(spark, sf):
 
 
 @query(r"""
-WITH w AS (SELECT DISTINCT lang, unnest(string_split(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g'), ' ')) AS word FROM documents WHERE doc_id < 60),
+WITH w AS (SELECT DISTINCT lang, unnest(string_split(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g'), ' ')) AS word FROM documents),
 c AS (SELECT DISTINCT lang, word, unnest(string_split(word, '')) AS ch FROM w WHERE word <> ''),
 f AS (SELECT 1 AS prio, 'plain' AS font, unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS ch UNION ALL
       SELECT 2, 'western', unnest(string_split('abcdefghijklmnopqrstuvwxyzàâäçèéêëîïñóôöùûüßíáú', '')))
@@ -277,7 +277,7 @@ UNION ALL
 SELECT lang, word, 'fallback' FROM (SELECT lang, word, count(*) AS n FROM c GROUP BY 1, 2) x
 WHERE EXISTS (SELECT 1 FROM c JOIN f USING (ch) WHERE c.lang = x.lang AND c.word = x.word)
   AND NOT EXISTS (SELECT 1 FROM (SELECT c.lang, c.word, font, count(*) AS hit FROM c JOIN f USING (ch) GROUP BY 1, 2, 3) y WHERE y.lang = x.lang AND y.word = x.word AND y.hit = x.n)
-""".replace(" WHERE doc_id < 60", ""))
+""")
 def font_coverage(spark, sf):
     words = _t(spark, sf, "documents").select("lang", F.explode(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " ")).alias("word"))
     fonts = [("plain", "abcdefghijklmnopqrstuvwxyz"), ("western", "abcdefghijklmnopqrstuvwxyzàâäçèéêëîïñóôöùûüßíáú")]
@@ -287,9 +287,9 @@ def font_coverage(spark, sf):
 @query(r"""
 WITH d AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(regexp_replace(text, '[0-9_]+', ' ', 'g'), '[^\p{L}\p{N}_]+', ' ', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) >= 3),
 x AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '[0-9_]+', ' ', 'g'), '[^\p{L}\p{N}_]+', ' ', 'g'), ' ')) AS w FROM documents) WHERE length(w) >= 3)
-SELECT doc_id, count(*) AS words, count(*) FILTER (w IN (SELECT w FROM d) OR lower(w) IN (SELECT w FROM d)) AS matched,
-       round(count(*) FILTER (w IN (SELECT w FROM d) OR lower(w) IN (SELECT w FROM d)) / count(*), 6) AS share
-FROM x GROUP BY doc_id
+SELECT doc_id, count(w) AS words, count(*) FILTER (w IN (SELECT w FROM d) OR lower(w) IN (SELECT w FROM d)) AS matched,
+       coalesce(round(count(*) FILTER (w IN (SELECT w FROM d) OR lower(w) IN (SELECT w FROM d)) / nullif(count(w), 0), 6), 0.0) AS share
+FROM documents LEFT JOIN x USING (doc_id) GROUP BY doc_id
 """)
 def dictionary_quality(spark, sf):
     words = _t(spark, sf, "benchmark").select(F.explode(text.quality_words(F.col("text"))).alias("word")).distinct()
@@ -389,9 +389,9 @@ def graphics_stack_fold(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "push").when(F.col("event_type") == "error", "pop").when(F.col("event_type") == "click", "move").otherwise("draw")
     one, zero = F.lit(1.0), F.lit(0.0)
     k = F.get_json_object("props", "$.k").cast("double")
-    t = e.withColumn("op", kind).withColumn("matrix", boxes.affine(one + k / 1000, zero, zero, one, k, zero))
-    out = assembly.stack_fold(t, ["user_id"], ["ts", "event_id"])
-    return out.select("user_id", F.size("draws").alias("n_draws"), _r(F.element_at("draws", -1)["a"]).alias("last_scale"))
+    t = e.withColumn("op", kind).select("*", F.inline(F.array(boxes.affine(one + k / 1000, zero, zero, one, k, zero))))
+    out = folds.graphics_states(t, ["user_id"], ["ts", "event_id"])
+    return out.select("user_id", "draws", "deepest", "status", _r("a").alias("last_scale"))
 
 
 @query("""
@@ -409,9 +409,7 @@ def strip_blocks(spark, sf):
 
 @query()
 def log_dedupe(spark, sf):
-    parts = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    t = _t(spark, sf, "events").groupBy("user_id").agg(F.transform(parts, lambda x: x["event_type"]).alias("m"))
-    return t.select("user_id", F.size("m").alias("n"), F.array_join(assembly.dedupe_messages(F.col("m")), "|").alias("shown"))
+    return folds.shown_messages(_t(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
 @query("""
@@ -526,23 +524,22 @@ def hocr_fields(spark, sf):
         text.title_confidence(F.col("title")).alias("confidence"), text.title_number(F.col("title"), "scan_res").alias("dpi"))
 
 
-@query("SELECT doc_id, md5(trim(text)) AS plain FROM documents")
+@query("SELECT doc_id, md5('fi ' || trim(text) || ' 1a') AS plain FROM documents")
 def nfkc_text(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.md5(text.normalised("text")).alias("plain"))
+    written = F.concat(F.lit(" \ufb01 "), F.trim("text"), F.lit(" \u2460\uff41 "))
+    return _t(spark, sf, "documents").select("doc_id", F.md5(text.normalised(written)).alias("plain"))
 
 
-@query(r"""
-SELECT doc_id, false AS rtl, false AS cjk, reverse(substr(text, 1, 20)) AS turned FROM documents
+@query("""
+SELECT doc_id, doc_id % 6 IN (1, 2, 3) AS rtl, doc_id % 6 = 4 AS cjk, md5(reverse(t)) AS turned
+FROM (SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN '12 שלום ' || text WHEN 2 THEN '(مرحبا) ' || text WHEN 3 THEN 'ܐܒ ' || text WHEN 4 THEN '漢字かな𠀀。' WHEN 5 THEN 'ㄅ' ELSE text END AS t FROM documents)
 """)
 def script_direction(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", text.reads_right_to_left(F.col("text")).alias("rtl"), text.only_cjk(F.col("text")).alias("cjk"), F.reverse(F.substring("text", 1, 20)).alias("turned"))
-
-
-@query()
-def script_direction_whole(spark, sf):
-    """script_direction with the whole text reversed, as md5; its SQL reverses 20 characters."""
-    turned = F.md5(F.reverse("text")).alias("turned")
-    return _t(spark, sf, "documents").select("doc_id", text.reads_right_to_left(F.col("text")).alias("rtl"), text.only_cjk(F.col("text")).alias("cjk"), turned)
+    n = F.col("doc_id") % 6
+    led = lambda sign: F.concat(F.lit(sign), F.col("text"))
+    written = F.when(n == 1, led("12 שלום ")).when(n == 2, led("(مرحبا) ")).when(n == 3, led("ܐܒ ")).when(n == 4, "漢字かな𠀀。").when(n == 5, "ㄅ").otherwise(F.col("text"))
+    t = _t(spark, sf, "documents").select("doc_id", written.alias("t"))
+    return t.select("doc_id", text.reads_right_to_left(F.col("t")).alias("rtl"), text.only_cjk(F.col("t")).alias("cjk"), F.md5(F.reverse("t")).alias("turned"))
 
 
 @query("""
@@ -660,18 +657,25 @@ def udtf_words(spark, sf):
 
 @query(r"""
 SELECT doc_id, 'word_' || CAST(i - 1 AS VARCHAR) AS node, w[i] AS word, CAST(i * 10 AS DOUBLE) AS x0, CAST(0.9 AS DOUBLE) AS confidence
-FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 4) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS w FROM documents))
+FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS w FROM documents))
 """)
 def hocr_parse(spark, sf):
-    return _word_nodes(spark, sf, F.slice(_letter_words(), 1, 4))
+    return _word_nodes(spark, sf, _letter_words())
 
 
 @query()
 def hocr_parse_whole(spark, sf):
-    """hocr_parse over all words of every text; its SQL stops at the fourth."""
+    """The same under its former name."""
     return _word_nodes(spark, sf, _letter_words())
 
 
+@query()
+def script_direction_whole(spark, sf):
+    """script_direction of the texts as they are."""
+    t = _t(spark, sf, "documents")
+    return t.select("doc_id", text.reads_right_to_left(F.col("text")).alias("rtl"), text.only_cjk(F.col("text")).alias("cjk"), F.md5(F.reverse("text")).alias("turned"))
+
+
 def _letter_words():
     return F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))
 
@@ -713,10 +717,8 @@ SELECT n.n_nationkey, c.r_regionkey, NOT (n_name = r_name OR starts_with(n_name,
 """)
 def path_isolation(spark, sf):
     n, r = _t(spark, sf, "nation"), _t(spark, sf, "region")
-    few = F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name")))  # a handful of configured folders
-    folders = r.agg(few.alias("f")).first()["f"]
-    listed = F.array(*[F.struct(F.lit(x["r_regionkey"]).alias("r_regionkey"), F.lit(x["r_name"]).alias("r_name")) for x in folders])
-    t = n.select("n_nationkey", "n_name", F.inline(listed))
+    # the configured folders are a table of a few rows, joined to every data folder
+    t = n.select("n_nationkey", "n_name").join(F.broadcast(r.select("r_regionkey", "r_name")), F.lit(True))
     return t.select("n_nationkey", "r_regionkey", pages.safe_paths(F.col("n_name"), F.col("r_name")).alias("apart"))
 
 
@@ -739,8 +741,12 @@ def stream_dedupe(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import rules  # noqa: F401  registers its queries here
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import rules  # noqa: F401
+
     return dict(_sql)

@@ -44,3 +44,28 @@ def page_words() -> UserDefinedTableFunction:
 
 def register(spark: SparkSession) -> None:
     spark.udtf.register("page_words", page_words())
+
+
+def manifest_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """The fields of a column of JSON objects; lines that are none are left out."""
+    read = lines.select(F.from_json(column, schema).alias("_m"), F.json_object_keys(column).alias("_k"))
+    return read.where(F.col("_k").isNotNull()).select("_m.*")
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A manifest file, one JSON object a line."""
+    return manifest_lines(spark.read.text(path), "value", schema)
+
+
+def read_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, content, kind, version) of all files below a folder, told apart by content. A
+    path without any file is an error at once, not an empty result."""
+    found = read_folder(spark, path, pattern)
+    if found.select("path").isEmpty():
+        raise FileNotFoundError(path)
+    return found.select("path", "length", "content", route(F.col("content")).alias("kind"), signature_version(F.col("content")).alias("version"))
+
+
+def write_results(results: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Results as Parquet; what is there already is not overwritten unless told so."""
+    results.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
 
@@ -17,16 +18,24 @@ LINES = ("ocr_line", "ocr_header", "ocr_footer", "ocr_caption", "ocr_textfloat")
 RAW = "node int, parent int, path array<int>, kind string, name string, title string, dir string, lang string, text string, status string"
 
 
+def _own_text(element) -> str:
+    """The text of an element: its own, its children's, and what follows its end tag, as one reading
+    order would have it; joined by NFKC, without white space at the ends."""
+    return unicodedata.normalize("NFKC", "".join(element.itertext()) + (element.tail or "")).strip()
+
+
 def _rows(markup: str | None) -> list[tuple]:
-    """The classed elements of a page in reading order, or one row that says what is wrong."""
+    """The classed elements of a page in reading order, or one row that says what is wrong. A stack
+    takes the place of recursion, so markup may be nested as deep as it likes."""
     fail = lambda why: [(0, None, [0], None, None, None, None, None, None, why)]
     try:
         root = ElementTree.fromstring(re.sub(r"<!DOCTYPE[^>]*>", "", markup or ""))
     except ElementTree.ParseError:
         return fail("not well formed")
     rows: list[tuple] = []
-
-    def walk(element, parent: int | None, path: list[int], direction: str | None, language: str | None) -> None:
+    waiting = [(root, None, [], None, None)]
+    while waiting:
+        element, parent, path, direction, language = waiting.pop()
         kind = element.get("class")
         language = element.get("lang") or element.get("{http://www.w3.org/XML/1998/namespace}lang") or language
         direction = element.get("dir") or direction
@@ -34,12 +43,9 @@ def _rows(markup: str | None) -> list[tuple]:
         if kind and kind.startswith("ocr"):
             here = len(rows)
             where = [*path, here]
-            own = " ".join("".join(element.itertext()).split()) if kind == "ocrx_word" else None
+            own = _own_text(element) if kind == "ocrx_word" else None
             rows.append((here, parent, where, kind, element.get("id"), element.get("title"), direction, language, own, None))
-        for child in element:
-            walk(child, here, where, direction, language)
-
-    walk(root, None, [], None, None)
+        waiting += [(child, here, where, direction, language) for child in reversed(element)]
     page = next((r for r in rows if r[3] == "ocr_page"), None)
     if page is None:
         return fail("no page")
@@ -80,6 +86,19 @@ def of_kind(nodes: DataFrame, *kinds: str) -> DataFrame:
     return nodes.where(F.col("kind").isin(*kinds)).orderBy("path")
 
 
+def lines(nodes: DataFrame) -> DataFrame:
+    """Nodes of any line class in reading order."""
+    return of_kind(nodes, *LINES)
+
+
+def first_of(nodes: DataFrame, page: list[str], *kinds: str) -> DataFrame:
+    """(page, kind, node, path): the first node of the given kinds of every page in reading order;
+    pages without one give none."""
+    row = F.struct("path", "node", "kind")
+    found = nodes.where(F.col("kind").isin(*kinds)).groupBy(*page).agg(F.min(row).alias("_f"))
+    return found.select(*page, "_f.kind", "_f.node", "_f.path")
+
+
 def page_text(nodes: DataFrame, id_col: str) -> DataFrame:
     """(id, text): the words of a page in reading order, empty ones left out."""
     words = nodes.where((F.col("kind") == "ocrx_word") & (F.col("text") != ""))
