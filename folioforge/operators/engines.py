@@ -66,6 +66,18 @@ def recognise(pages: DataFrame, hooks: Hooks) -> DataFrame:
     return pages.mapInPandas(engine, PAGE_RESULT)
 
 
+#: Fixed value: the text of a page that an engine gave up on.
+SKIPPED_PAGE = "[skipped page]"
+
+
+def after_timeouts(results: DataFrame, timed_out: Column) -> DataFrame:
+    """Page results in which a page that took too long has no rotation, no confidence, and a text that
+    says so; the others are as they are."""
+    stand_in = {"text": F.lit(SKIPPED_PAGE), "orientation": F.lit(0), "confidence": F.lit(0.0)}
+    late = F.coalesce(timed_out, F.lit(False))
+    return results.select(*[F.when(late, stand_in[c]).otherwise(F.col(c)).alias(c) if c in stand_in else F.col(c) for c in results.columns])
+
+
 def filtered(pages: DataFrame, hooks: Hooks, hook: str) -> DataFrame:
     """``pages`` through the first handler of an image or page filter, in batches of pandas frames of
     the same columns; without one, as they are."""

@@ -107,3 +107,17 @@ def graft(pages: DataFrame, layers: DataFrame, on: list[str]) -> DataFrame:
     """Every page with its text layer, where it has one; ``grafted`` tells. A layer without a page
     is an error of the caller and is left out."""
     return pages.join(layers.withColumn("grafted", F.lit(True)), on, "left").withColumn("grafted", F.coalesce("grafted", F.lit(False)))
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, code: str, name: str, default: str) -> DataFrame:
+    """``rows`` with ``name``: what a table of codes, given as data, has for each key, or the default.
+    Repeated codes of the table count once; whether it is broadcast is left to its size at run
+    time."""
+    known = table.groupBy(F.col(code).alias("_code")).agg(F.min(name).alias("_name"))
+    joined = rows.join(known, F.col(key) == F.col("_code"), "left")
+    return joined.select(*rows.columns, F.coalesce("_name", F.lit(default)).alias(name))
+
+
+def in_order_of_trial(first: Column, more: Column) -> Column:
+    """Two lists one after another, each name where it comes first."""
+    return F.array_distinct(F.concat(first, more))

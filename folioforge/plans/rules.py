@@ -358,7 +358,7 @@ SELECT doc_id, source AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'me' END
 FROM documents
 """.replace("CASE WHEN doc_id % 2 = 0 THEN 'keywords' ELSE 'author,keywords' END AS lost", "CASE WHEN doc_id % 3 = 0 THEN 'keywords' ELSE 'author,keywords' END AS lost"))
 def property_merge(spark, sf):
-    """N13, U3, U4, U6."""
+    """N13, U3, U4."""
     pair = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
     original, output = pair("title", "draft", "author", "me", "keywords", "a, b"), pair("title", F.col("source"), "producer", "folio")
     given = F.when(F.col("doc_id") % 3 == 0, pair("author", "")).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
@@ -487,6 +487,42 @@ def _third_only(batches):
         yield p.assign(image=[x if i % 3 == 0 else None for i, x in zip(p["doc_id"], p["image"], strict=True)])
 
 
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[skipped page]' ELSE lang END AS text, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 90 END AS INTEGER) AS orientation FROM documents
+""")
+def timed_out_pages(spark, sf):
+    """N3, N6."""
+    t = _t(spark, sf, "documents").select("doc_id", F.col("lang").alias("text"), F.lit(90).alias("orientation"), F.lit(1.0).alias("confidence"))
+    return engines.after_timeouts(t, F.when(F.col("doc_id") % 6 != 1, F.col("doc_id") % 3 == 0)).select("doc_id", "text", "orientation")
+
+
+@query("SELECT c_custkey, coalesce(n_name, '') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON c_nationkey = n_nationkey")
+def code_lookup(spark, sf):
+    """Names of codes from a table that is given as data."""
+    table = _t(spark, sf, "nation").where("n_regionkey <> 1")
+    out = matching.looked_up(_t(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", table, "n_nationkey", "n_name", "")
+    return out.select("c_custkey", "n_name")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'fr' THEN 'plain,western,cjk' ELSE 'plain,western,' || lang END AS fonts FROM documents")
+def fallback_fonts(spark, sf):
+    """U6, T8."""
+    known = F.array(F.lit("plain"), F.lit("western"))
+    more = F.when(F.col("lang") == "fr", F.array(F.lit("western"), F.lit("cjk"), F.lit("cjk"))).otherwise(F.array(F.col("lang")))
+    return _t(spark, sf, "documents").select("doc_id", F.array_join(matching.in_order_of_trial(known, more), ",").alias("fonts"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_extendedprice >= 25000 AND l_extendedprice * 2 / (l_extendedprice + 4000 + 3000 * l_linenumber) >= 1.35
+  THEN concat_ws(',', CASE WHEN l_returnflag = 'R' THEN 'forced' END, CASE WHEN l_linestatus = 'O' THEN 'no optimiser' END) ELSE '' END AS reasons FROM lineitem
+""")
+def size_reasons(spark, sf):
+    """Why a result has grown."""
+    reasons = F.array(F.when(F.col("l_returnflag") == "R", "forced"), F.when(F.col("l_linestatus") == "O", "no optimiser"))
+    report = pages.size_report(F.col("l_extendedprice"), F.col("l_extendedprice") * 2, F.col("l_linenumber"), reasons)
+    return _lines(spark, sf).select("l_orderkey", *LINE_ORDER, F.array_join(report["reasons"], ",").alias("reasons"))
+
+
 @query("""
 SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id
 """)
