@@ -151,8 +151,8 @@ def pack_documents(
     Every row of ``docs`` is packed, repeated rows each time. A null or empty text is the end
     id alone. Documents of more than ``capacity`` tokens are cut at multiples of it, others
     never. Sequences are filled by best fit decreasing over the whole table, without gaps.
-    Pieces of one length are interchangeable; which of them goes where is any. An empty table
-    gives no piece. The tokenizer must drop white space (see tokenize.WordIds).
+    Pieces of one length are interchangeable; which of them goes where is any. Columns besides id
+    and text are not read, so none can clash; an empty table gives no piece. The tokenizer must drop white space (see tokenize.WordIds).
     """
     pieces = materialise(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces")
     counts = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import broadcast_if_small, materialise, words_of
 from .components import connected_components
 from .line_dedup import line_links, word_shingles, word_sketch
 
@@ -217,8 +217,9 @@ def simhash_components(
     gives an empty result.
     """
     found = materialise(simhash_prints(docs, id_col, text_col, shingle, radius), "rooted")
-    least = found.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    return found.join(least, "root").select(id_col, "fp", "component_id")
+    # written first: where it is too large to broadcast, adaptive execution splits a hot root
+    least = materialise(found.groupBy("root").agg(F.min(id_col).alias("component_id")), "least")
+    return found.join(broadcast_if_small(least), "root").select(id_col, "fp", "component_id")
 
 
 def near_duplicate_roots(

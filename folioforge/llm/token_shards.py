@@ -92,26 +92,28 @@ def token_sequences(docs: DataFrame, tokenizer_path: str, length: int, end_id: i
             )
 
         gc.disable()  # nothing here makes cycles, and the memory of words is large to walk
-        id_type = pa.int64()
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(np.frombuffer(encode(text.as_py()), "<u4").astype("<u2"), np.uint16(end_id))
-                at = 0
-                while at < len(ids):
-                    take = min(length - filled, len(ids) - at)
-                    held.append(ids[at : at + take])
-                    places.append((row, at, filled, take))
-                    at, filled = at + take, filled + take
-                    if filled == length:
-                        close()
-            if len(out) >= 256:
+        try:
+            id_type = pa.int64()
+            for batch in batches:
+                id_type = batch.schema.field(0).type
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = np.append(np.frombuffer(encode(text.as_py()), "<u4").astype("<u2"), np.uint16(end_id))
+                    at = 0
+                    while at < len(ids):
+                        take = min(length - filled, len(ids) - at)
+                        held.append(ids[at : at + take])
+                        places.append((row, at, filled, take))
+                        at, filled = at + take, filled + take
+                        if filled == length:
+                            close()
+                if len(out) >= 256:
+                    yield flush()
+            if filled:
+                close()
+            if out:
                 yield flush()
-        if filled:
-            close()
-        if out:
-            yield flush()
-        gc.enable()
+        finally:
+            gc.enable()
 
     places = f"array<struct<id:{kind},start:bigint,offset:int,length:int>>"
     return docs.select(id_col, text_col).mapInArrow(run, f"part int, nth long, n_tokens int, packed binary, places {places}")
@@ -133,9 +135,11 @@ def write_training_order(
     manifest: (shard, path, first_slot, records, crc32) for each file; placements: (id, start,
     length, slot, offset, shard, record) for each run of a document's ids in a sequence. Shard
     files hold ``length`` unsigned 16-bit ids a record, little-endian. Files are written under
-    a temporary name and renamed, so a lost executor leaves no half shard. Null and empty texts are the end id alone. Every row is
-    written, repeated rows each time; an empty table writes nothing. The vocabulary must drop
-    white space (tokenize.WordIds) and have ids below 65536.
+    a temporary name and renamed, so a lost executor leaves no half shard. Null and empty texts
+    are the end id alone; very long ones run through as many sequences as they need. Every row is
+    written, repeated rows each time; columns besides id and text are not read; an empty table
+    writes nothing. The vocabulary must drop white space (tokenize.WordIds) and have ids below
+    65536.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "shards")
