@@ -40,7 +40,7 @@ def count_tokens(
     Contents are normalised as the vocabulary itself would: a null text is the empty text and
     nothing else changes, so the digest is SHA-256 of the UTF-8 bytes; the version is SHA-256
     of the vocabulary file. Digests that the cache at ``cache_path`` does not hold are encoded
-    once each (rows equal in id and text each time), however many rows share them, and appended.
+    once each, however many rows share them, and appended.
     By default the cache is ``folioforge/token-counts`` in the shared folder; it lasts, so a later
     run over the same contents encodes nothing. Digests meet by partial aggregation, so a text
     that a third of all rows share does not meet itself. A cached result of another vocabulary is
@@ -63,14 +63,18 @@ def count_tokens(
     misses = one.join(chosen, ["digest", "of"], "left_semi").select("digest", "_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = tokenize.counter(tokenizer_path)
+        count, done = tokenize.counter(tokenizer_path), set()
         for batch in batches:
-            n = pa.array([count(t) for t in batch.column(1).to_pylist()], pa.int64())
-            tag = pa.array([version] * batch.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), tag, n], names=["digest", "tokenizer", "n_tokens"])
+            new = [i for i, d in enumerate(batch.column(0).to_pylist()) if not (d in done or done.add(d))]
+            n = pa.array([count(batch.column(1)[i].as_py()) for i in new], pa.int64())
+            tag = pa.array([version] * len(new), pa.string())
+            digests = batch.column(0).take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([digests, tag, n], names=["digest", "tokenizer", "n_tokens"])
 
     if not chosen.isEmpty():
-        misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+        counted = misses.mapInArrow(encode, CACHE_SCHEMA)
+        # rows equal in id and text may have gone to several tasks
+        counted.dropDuplicates(["digest"]).write.mode("append").parquet(cache_path)
     discard(chosen)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     return keyed.join(counts, "digest", "left").select(
