@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioforge.llm import decontam, html_text, line_dedup, packing, quality, repeats, simhash, token_counts, token_shards, toxicity
+from folioforge.llm.common import materialise
 from tests.llm.test_operators import corpus, groups, prose
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -262,3 +263,14 @@ def test_near_duplicate_recall(spark):
     roots = {x["k"]: x["root"] for x in simhash.near_duplicate_roots(spark.createDataFrame(rows, "k long, text string"), "k").collect()}
     caught = sum(roots[k] == roots[k + 1] for k in roots if k % 2 == 0)
     assert near > 100 and caught >= 0.99 * near and len(set(roots.values())) >= near
+
+
+def test_shuffles_go_with_their_query(spark):
+    files = lambda: str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(","))
+    held = lambda: len(re.findall(r"shuffle_\d+_\d+_\d+\.data", files()))
+    spark.range(10**5).groupBy((F.col("id") % 999).alias("k")).count().write.format("noop").mode("overwrite").save()
+    before = held()
+    assert before > 0
+    kept = materialise(spark.range(10**5).groupBy((F.col("id") % 997).alias("k")).count(), "kept")
+    assert held() <= before
+    assert kept.count() == 997
