@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise, words_of
 from .components import connected_components
-from .line_dedup import line_links, word_shingles, word_sketch
+from .line_dedup import LOCAL, line_links, word_shingles, word_sketch
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -240,5 +240,5 @@ def near_duplicate_roots(
     groups = materialise(groups, "groups")
     shared = groups.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     links = line_links(words.select("h", "line"), threshold, word_shingles, word_sketch, groups.join(shared, "bucket"))
-    roots = connected_components(links).toDF("h", "root")
+    roots = connected_components(links, local=LOCAL).toDF("h", "root")
     return words.drop("line").join(roots, "h", "left").select(key_col, F.coalesce("root", "h").alias("root"))

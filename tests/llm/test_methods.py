@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioforge.llm import decontam, html_text, line_dedup, packing, quality, repeats, simhash, token_counts, token_shards, toxicity
+from folioforge.llm import components, decontam, html_text, line_dedup, packing, quality, repeats, simhash, token_counts, token_shards, toxicity
 from folioforge.llm.common import materialise
 from tests.llm.test_operators import corpus, groups, prose
 
@@ -265,6 +265,29 @@ def test_near_duplicate_recall(spark):
     assert near > 100 and caught >= 0.99 * near and len(set(roots.values())) >= near
 
 
+def test_near_copies_take_about_one_link_a_line(spark):
+    """Copies of one line that lie in many buckets: components need no link from each bucket."""
+    r, base, lines = random.Random(17), prose(60, 95000).split(), set()
+    while len(lines) < 150:
+        copy = list(base)
+        for _ in range(3):
+            copy[r.randrange(len(copy))] = r.choice(["zz", "yx", "qv"])
+        lines.add(" ".join(copy))
+    table = spark.createDataFrame(list(enumerate(sorted(lines))), "h long, line string")
+    got = [(x["src"], x["dst"]) for x in line_dedup.line_links(table, 0.8).collect()]
+    assert len(set(groups(150, got))) == 1 and len(got) <= 2 * 150
+
+
+def test_a_pair_is_met_in_one_bucket(spark):
+    """Lines of three buckets that are not in one component."""
+    lines = [prose(14, 96000) + f" end {i:03}" for i in range(12)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    buckets = spark.createDataFrame([(b, h) for b in (7, 3, 5) for h in range(12) if h != b], "bucket long, h long")
+    none = spark.createDataFrame([], "node long, root long")
+    got = [(x["src"], x["dst"]) for x in line_dedup.open_pairs(buckets, line_dedup.bitmaps(texts), none, 0.8).collect()]
+    assert sorted(got) == [(i, j) for i in range(12) for j in range(i + 1, 12)]
+
+
 def test_shuffles_go_with_their_query(spark):
     files = lambda: str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(","))
     held = lambda: len(re.findall(r"shuffle_\d+_\d+_\d+\.data", files()))
@@ -274,3 +297,15 @@ def test_shuffles_go_with_their_query(spark):
     kept = materialise(spark.range(10**5).groupBy((F.col("id") % 997).alias("k")).count(), "kept")
     assert held() <= before
     assert kept.count() == 997
+
+
+def test_components_on_the_driver(spark):
+    r = random.Random(23)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(180)] + [(i + 1, i) for i in range(1000, 3000)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    ends = {x for p in pairs for x in p if p[0] != p[1]}
+    want = groups(3001, pairs)
+    for local in (0, 300, 10**5):
+        found = {x["node"]: x["root"] for x in components.connected_components(edges, local=local).collect()}
+        assert set(found) == ends
+        assert len({(found[x], want[x]) for x in ends}) == len(set(found.values())) == len({want[x] for x in ends})
