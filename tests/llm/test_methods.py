@@ -309,3 +309,10 @@ def test_components_on_the_driver(spark):
         found = {x["node"]: x["root"] for x in components.connected_components(edges, local=local).collect()}
         assert set(found) == ends
         assert len({(found[x], want[x]) for x in ends}) == len(set(found.values())) == len({want[x] for x in ends})
+
+
+def test_blank_lines_have_no_word(spark):
+    lines = ["", " \t\n\x0b\f\r ", "\r\r", " a ", " ", " ", "\x00", None, "x" * 5000 + " "]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    got = {x["i"] for x in table.where(line_dedup._has_word(F.col("x"))).collect()}
+    assert got == {3, 4, 5, 6, 8}
